@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidemark.llm import queries_corpus
+from tidemark.llm import queries_corpus, queries_text
 
-REGISTRIES = [queries_corpus.R]
+REGISTRIES = [queries_corpus.R, queries_text.R]
