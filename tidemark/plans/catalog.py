@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import rolling_history
+from tidemark.plans import code, leaderboard, rolling_history
 
-REGISTRIES = [rolling_history.R]
+REGISTRIES = [leaderboard.R, code.R, rolling_history.R]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return rolling_history.p2_rolling(spark, folder)
+    return leaderboard.leaderboard_full(spark, folder)
