@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import code, leaderboard, rolling_history
+from tidemark.plans import code, leaderboard, rolling_history, search
 
-REGISTRIES = [leaderboard.R, code.R, rolling_history.R]
+REGISTRIES = [leaderboard.R, code.R, search.R, rolling_history.R]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
