@@ -24,7 +24,8 @@ def hard_negatives(snapshots: DataFrame, *, positives: Column, n: int = 3) -> Da
 
     Candidates aren't archived and have the positive's language, or any if no other repository has it. They are ranked by
     the share of common tokens, then by their number. Candidates are found by shared tokens, without the language's own
-    token, which every candidate of a language has; where fewer than n share one, the first of the language fill up.
+    token, which nearly every candidate of a language has; of those that share no other one, only the first by number of tokens
+    and the first by their own number can be among the best, and these are added.
     positives: which repositories to take as queries; every repository is searched.
     """
     latest = materialize(
@@ -47,7 +48,9 @@ def hard_negatives(snapshots: DataFrame, *, positives: Column, n: int = 3) -> Da
     left = asked.select("query", "positive", "pool", F.explode(skip(F.col("q"))).alias("token"))
     right = wanted.select("pool", F.col("full_name").alias("negative"), F.explode(skip(F.col("tokens"))).alias("token"))
     shared = left.join(right, ["pool", "token"]).where("positive <> negative").groupBy("positive", "negative").agg(F.count("*").alias("n"))
-    first = wanted.withColumn("k", F.row_number().over(Window.partitionBy("pool").orderBy("ordinal"))).where(F.col("k") <= 2 * n)
+    by_size = Window.partitionBy("pool").orderBy(F.array_contains("tokens", F.lower("language")).desc(), F.size("tokens"), "ordinal")
+    by_number = Window.partitionBy("pool").orderBy("ordinal")
+    first = wanted.withColumn("k", F.row_number().over(by_size)).withColumn("i", F.row_number().over(by_number)).where((F.col("k") <= n + 1) | (F.col("i") <= n + 1))
     fill = asked.select("positive", "pool").join(first.select("pool", F.col("full_name").alias("negative")), "pool").where("positive <> negative").select("positive", "negative", F.lit(0).cast("long").alias("n"))
     pairs = shared.unionByName(fill).groupBy("positive", "negative").agg(F.max("n").alias("n"))
     speaks = F.array_contains("tokens", F.lower("language"))
