@@ -86,8 +86,8 @@ def pair_metrics(scored: DataFrame, *, positive: str, negative: str) -> DataFram
     return scored.agg(F.count("*").alias("pairs"), F.avg(F.when(right, 1.0).otherwise(0.0)).alias("accuracy"), F.avg(ndcg).alias("ndcg"))
 
 
-def train_ranker(pairs: DataFrame, snapshots: DataFrame):  # noqa: ANN201
-    """A linear ranker fitted by logistic regression on differences of the snapshots' features; returns the model.
+def train_ranker(pairs: DataFrame, snapshots: DataFrame) -> list[float]:
+    """A linear ranker fitted by logistic regression on differences of the snapshots' features: its weights, zeros without pairs.
 
     pairs: (positive, negative) names. Each pair is used in both directions, so no intercept is learned.
     """
@@ -99,8 +99,12 @@ def train_ranker(pairs: DataFrame, snapshots: DataFrame):  # noqa: ANN201
     a, b = (rows.select(F.col("full_name").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in ("positive", "negative"))
     both = pairs.select("positive", "negative").join(a, "positive").join(b, "negative")
     ways = [both.select(F.lit(label).alias("label"), *[((F.col(f"positive_{c}") - F.col(f"negative_{c}")) * sign).alias(c) for c in names]) for label, sign in ((1.0, 1.0), (0.0, -1.0))]
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(ways[0].unionByName(ways[1]))
-    return LogisticRegression(fitIntercept=False, regParam=1e-3, maxIter=30).fit(data)
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(ways[0].unionByName(ways[1])).persist()
+    if data.isEmpty():
+        return [0.0] * len(names)
+    weights = LogisticRegression(fitIntercept=False, regParam=1e-3, maxIter=30).fit(data).coefficients.toArray().tolist()
+    data.unpersist()
+    return weights
 
 
 def feature_rows(snapshots: DataFrame) -> DataFrame:
@@ -108,9 +112,9 @@ def feature_rows(snapshots: DataFrame) -> DataFrame:
     return latest_snapshots(snapshots).select("full_name", *[c.alias(n) for n, c in structured_features().items()])
 
 
-def ranker_scores(model, snapshots: DataFrame) -> DataFrame:  # noqa: ANN001
+def ranker_scores(weights: list[float], snapshots: DataFrame) -> DataFrame:
     """(full_name, score): the linear score of each repository's features."""
     score = F.lit(0.0)
-    for name, w in zip(structured_features(), model.coefficients.toArray(), strict=True):
-        score = score + F.lit(float(w)) * F.col(name)
+    for name, w in zip(structured_features(), weights, strict=True):
+        score = score + F.lit(w) * F.col(name)
     return feature_rows(snapshots).select("full_name", score.alias("score"))

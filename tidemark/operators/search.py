@@ -111,7 +111,7 @@ def blend(candidates: DataFrame, *, learned: Column, cross: Column, reranked: in
     return candidates.withColumn("final", 0.25 * F.col("hybrid") + 0.25 * learned + 0.5 * sigmoid(second))
 
 
-_STEM = r"(?:ings?|ed|ies|es|s)$"
+_STEM = r"(?:ings?|ed|ies|es|e|s)$"
 
 
 def stems(text: Column) -> Column:

@@ -29,8 +29,8 @@ DEFAULTS = {"description": "", "language": "Unknown", "license_spdx": "NOASSERTI
 
 def with_defaults(snapshots: DataFrame) -> DataFrame:
     """Fill missing fields; rows without one of the three required fields fail the query."""
-    rows = snapshots.fillna(DEFAULTS)
-    for c in _ARRAYS:
+    rows = snapshots.fillna({c: v for c, v in DEFAULTS.items() if c in snapshots.columns})
+    for c in (a for a in _ARRAYS if a in snapshots.columns):
         rows = rows.withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
     for c in ("full_name", "html_url", "captured_at"):
         rows = rows.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(F.lit(f"a snapshot lacks {c}"))).otherwise(F.col(c)))
