@@ -66,7 +66,7 @@ def passages(items: DataFrame, *, item: str = "item_id", text: str = "text", siz
 
 def _scan(batches: Iterator[pd.DataFrame], lengths: list[int], wanted: dict[int, np.ndarray] | None) -> Iterator[pd.DataFrame]:
     """Every window of each length whose hash is wanted (all, if wanted is None): (doc, n, hash, start, words)."""
-    for b in batches:
+    for b in (whole.iloc[k : k + 500] for whole in batches for k in range(0, len(whole), 500)):
         texts = [words_of(t) for t in b["text"]]
         flat = np.array([w for t in texts for w in t], dtype=object)
         counts = np.array([len(t) for t in texts], dtype=np.int64)

@@ -77,13 +77,12 @@ def _band_keys(bands: int, rows: int, seed: int):  # noqa: ANN202
     return keys
 
 
-def shingled(df: DataFrame, *, id: str, text: Column, width: int) -> DataFrame:  # noqa: A002
+def shingled(df: DataFrame, *, width: int) -> DataFrame:
     """(id, digest, shingles): distinct 64-bit hashes of the runs of `width` successive words; rows with fewer words are left out.
 
     Words are runs of ASCII letters, digits and `_` in lower case. Two different runs have one hash with probability 2**-64.
     """
-    words = df.select(F.col(id).cast("long").alias("id"), text.alias("text")).where("id is not null and text is not null")
-    words = words.select("id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)).alias("words")).where(F.size("words") >= width)
+    words = df.select("id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)).alias("words")).where(F.size("words") >= width)
     run = lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(width)])
     return words.select(
         "id",
@@ -99,7 +98,8 @@ def near_duplicates(df: DataFrame, *, id: str, text: Column, threshold: float =
     (rep_a, rep_b, likeness) with rep_a < rep_b. Likeness is the number of shared distinct runs of `width` words divided by
     the number that either has. Ids must be unique; null ids or texts and shorter texts are in neither result.
     """
-    sets = shingled(df, id=id, text=text, width=width)
+    df = df.select(F.col(id).cast("long").alias("id"), text.alias("text")).where("id is not null and text is not null")
+    sets = shingled(df, width=width)
     keyed = materialize(sets.mapInArrow(_band_keys(bands, rows, seed), "id bigint, digest string, bands array<bigint>"), "bands")
     classes = keyed.groupBy("digest").agg(F.min("id").alias("rep"))
     members = keyed.select("id", "digest").join(classes, "digest").select("id", "rep")
@@ -108,8 +108,7 @@ def near_duplicates(df: DataFrame, *, id: str, text: Column, threshold: float =
     candidates = reps.select(F.col("id").alias("rep_a"), "band").join(other, "band").where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
     candidates = materialize(candidates, "candidates")
     needed = candidates.select(F.col("rep_a").alias("id")).union(candidates.select("rep_b")).distinct()
-    wanted = df.join(needed.withColumnRenamed("id", "wanted_id"), F.col(id) == F.col("wanted_id"), "left_semi")
-    full = shingled(wanted, id=id, text=text, width=width).select("id", "shingles")
+    full = shingled(df.join(needed, "id", "left_semi"), width=width).select("id", "shingles")
     a, b = (full.select(F.col("id").alias(f"rep_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = candidates.join(a, "rep_a").join(b, "rep_b").withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
     links = both.select("rep_a", "rep_b", (F.col("shared") / (F.size("set_a") + F.size("set_b") - F.col("shared"))).alias("likeness"))

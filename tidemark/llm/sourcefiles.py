@@ -277,7 +277,7 @@ def train(files: DataFrame, *, sample_files: int = SAMPLE_FILES) -> Classifiers:
     number, are fitted on the driver. Repositories whose hash is divisible by HELD_OUT are kept for validation. A view without
     both labels gets weights of 0 and a bias of -1, which finds nothing.
     """
-    rows = files.select("full_name", "path", "content").where("content is not null")
+    rows = files.select("full_name", "path", "content").where("content is not null and full_name is not null and path is not null")
     share = min(1.0, sample_files / max(1, rows.count()))
     sample = rows.where(F.pmod(F.xxhash64("full_name", "path"), F.lit(1 << 20)) < int(share * (1 << 20)))
     schema = "view string, full_name string, label double, features array<int>, values array<float>"
@@ -286,7 +286,8 @@ def train(files: DataFrame, *, sample_files: int = SAMPLE_FILES) -> Classifiers:
     views, validation = {}, []
     for view in VIEWS:
         own = told[told["view"] == view]
-        fit, rest = own[~own["held_out"]].copy(), own[own["held_out"]]
+        held_out = own["held_out"].astype(bool)
+        fit, rest = own[~held_out].copy(), own[held_out]
         if view == "path":  # names of single files tell nothing of others
             n = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *fit["features"]]).astype(np.int64), minlength=FEATURES)
             fit["values"] = [np.where(n[np.asarray(i)] < LEAST_PATHS, 0.0, v) for i, v in zip(fit["features"], fit["values"], strict=True)]
