@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,17 @@ def spread(df: DataFrame, *, factor: int = 1) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism * factor
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once, so that they find it whatever folder they start in."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="spark-")) / "tidemark.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    context.addPyFile(str(at))
+    context._tidemark_shipped = True
