@@ -9,6 +9,8 @@ encoded once, their ids joined back, and each block reassembled by position. A b
 from __future__ import annotations
 
 import base64
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -54,11 +56,16 @@ def _blocks(pattern: str, limit: int):  # noqa: ANN202
         types = pa.schema([("block", pa.string()), ("word", pa.string()), ("places", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
         docs: list[int] = []
         sizes: list[int] = []
-        words: dict[str, int] = {}
-        codes: list[int] = []
+
+        def fresh() -> tuple[defaultdict[str, int], array]:
+            words: defaultdict[str, int] = defaultdict()
+            words.default_factory = words.__len__  # a new word gets the next number
+            return words, array("i")
+
+        words, codes = fresh()
 
         def flush() -> pa.RecordBatch:
-            of = np.asarray(codes, dtype=np.int32)
+            of = np.frombuffer(codes, dtype=np.int32) if codes else np.zeros(0, dtype=np.int32)
             order = np.argsort(of, kind="stable").astype(np.int32)
             ends = np.cumsum(np.bincount(of, minlength=len(words))) if len(of) else np.zeros(0, dtype=np.int64)
             starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
@@ -78,13 +85,13 @@ def _blocks(pattern: str, limit: int):  # noqa: ANN202
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = find(text) if text else []
-                for w in found:
-                    codes.append(words.setdefault(w, len(words)))
+                codes.extend(map(words.__getitem__, found))
                 docs.append(doc)
                 sizes.append(len(found))
                 if len(codes) >= limit or len(docs) >= limit:
                     yield flush()
-                    docs, sizes, words, codes = [], [], {}, []
+                    docs, sizes = [], []
+                    words, codes = fresh()
         if docs:
             yield flush()
 
