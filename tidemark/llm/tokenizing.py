@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize, spread
 
 #: Pre-tokens of a block, beyond which a new one begins.
-BLOCK_TOKENS = 200_000
+BLOCK_TOKENS = 500_000
 
 _ENCODERS: dict = {}
 
@@ -43,7 +43,23 @@ def encoder(vocabulary: str, pattern: str):  # noqa: ANN201
     return _ENCODERS[vocabulary, pattern]
 
 
-_BLOCK = "block string, word string, places binary, docs array<bigint>, sizes array<int>"
+_BLOCK = "block bigint, word string, places binary, docs array<bigint>, sizes array<int>"
+
+
+def _pack_places(order: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The places of each word, order[start:end], as gaps of 1, 2 or 4 bytes, behind a byte that tells which."""
+    if not len(order):
+        return []
+    gaps = np.diff(order, prepend=np.int32(0))
+    gaps[starts] = order[starts]
+    most = np.maximum.reduceat(gaps, starts)
+    widths = np.where(most < 1 << 8, 1, np.where(most < 1 << 16, 2, 4)).tolist()
+    as_bytes = {w: gaps.astype(f"<u{w}").tobytes() for w in set(widths)}
+    return [bytes((w,)) + as_bytes[w][a * w : b * w] for w, a, b in zip(widths, starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _unpack_places(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, dtype=f"<u{packed[0]}", offset=1), dtype=np.int64)
 
 
 def _blocks(pattern: str, limit: int):  # noqa: ANN202
@@ -53,7 +69,7 @@ def _blocks(pattern: str, limit: int):  # noqa: ANN202
         import regex
 
         find = regex.compile(pattern).findall
-        types = pa.schema([("block", pa.string()), ("word", pa.string()), ("places", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+        types = pa.schema([("block", pa.int64()), ("word", pa.string()), ("places", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
         docs: list[int] = []
         sizes: list[int] = []
 
@@ -69,12 +85,11 @@ def _blocks(pattern: str, limit: int):  # noqa: ANN202
             order = np.argsort(of, kind="stable").astype(np.int32)
             ends = np.cumsum(np.bincount(of, minlength=len(words))) if len(of) else np.zeros(0, dtype=np.int64)
             starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            # gaps between places are small numbers, which compress well
-            places = [np.diff(order[a:b], prepend=0).astype("<i4").tobytes() for a, b in zip(starts, ends, strict=True)]
-            block = uuid.uuid4().hex
+            places = _pack_places(order, starts, ends)
+            block = uuid.uuid4().int >> 65
             n = len(words)
             columns = [
-                pa.array([block] * (n + 1), pa.string()),
+                pa.array(np.full(n + 1, block, dtype=np.int64)),
                 pa.array([None, *words], pa.string()),
                 pa.array([None, *places], pa.binary()),
                 pa.array([docs] + [None] * n, pa.list_(pa.int64())),
@@ -103,25 +118,24 @@ def _encode_words(vocabulary: str, pattern: str):  # noqa: ANN202
         e = encoder(vocabulary, pattern)
         for batch in batches:
             words = batch.column(0).to_pylist()
-            ids = pa.array([e.encode_ordinary(w) for w in words], pa.list_(pa.int32()))
+            ids = pa.array([np.array(e.encode_ordinary(w), dtype="<i4").tobytes() for w in words], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["word", "ids"])
 
     return encode
 
 
 def _assemble(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    head = table.filter(pa.compute.is_null(table["word"])).combine_chunks()
-    body = table.filter(pa.compute.is_valid(table["word"])).combine_chunks()
+    head = table.filter(pa.compute.is_valid(table["docs"])).combine_chunks()
+    body = table.filter(pa.compute.is_null(table["docs"]))
     docs, sizes = head["docs"][0].values, np.asarray(head["sizes"][0].values, dtype=np.int64)
     n = int(sizes.sum())
-    ids_of = body["ids"].combine_chunks() if body.num_rows else None
     if n:
-        places = [np.cumsum(np.frombuffer(p, dtype="<i4")) for p in body["places"].to_pylist()]
         word_at = np.empty(n, dtype=np.int64)
-        for i, p in enumerate(places):
-            word_at[p] = i
-        offsets = np.asarray(ids_of.offsets, dtype=np.int64)
-        flat = np.asarray(ids_of.values, dtype=np.int32)
+        for i, p in enumerate(body["places"].to_pylist()):
+            word_at[_unpack_places(p)] = i
+        ids = body["ids"].to_pylist()
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
+        flat = np.frombuffer(b"".join(ids), dtype="<i4")
         length = np.diff(offsets)[word_at]
         ends = np.cumsum(length)
         out = flat[np.repeat(offsets[word_at] - (ends - length), length) + np.arange(int(ends[-1]))]
@@ -142,8 +156,8 @@ def encode_corpus(docs: DataFrame, *, vocabulary: str, pattern: str, doc: str =
     rows = spread(docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")))
     blocks = materialize(rows.mapInArrow(_blocks(pattern, block_tokens), _BLOCK), "blocks")
     heads, body = blocks.where("word is null"), blocks.where("word is not null")
-    coded = body.select("word").distinct().mapInArrow(_encode_words(vocabulary, pattern), "word string, ids array<int>")
-    joined = body.join(coded, "word").unionByName(heads, allowMissingColumns=True).select("block", "word", "places", "docs", "sizes", "ids")
+    coded = body.select("word").distinct().mapInArrow(_encode_words(vocabulary, pattern), "word string, ids binary")
+    joined = body.join(coded, "word").unionByName(heads, allowMissingColumns=True).select("block", "places", "docs", "sizes", "ids")
     return joined.groupBy("block").applyInArrow(_assemble, "doc bigint, ids array<int>").select(F.col("doc").alias(doc), "ids")
 
 
