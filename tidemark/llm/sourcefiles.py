@@ -27,6 +27,8 @@ SAMPLE_FILES = 4_000
 FEATURES = 1 << 15
 #: Files of the sample that a path component must be of to count.
 LEAST_PATHS = 8
+#: Margin from which a path alone tells: names say less than code, so a file without content isn't judged on a bare majority.
+PATH_MARGIN = 0.5
 #: One repository in so many is held out for validation.
 HELD_OUT = 5
 
@@ -325,7 +327,7 @@ def judge(files: DataFrame, found: Classifiers) -> DataFrame:
                     told = scores("comment", [x for _, x in lines], *views["comment"]) > 0
                     machine[[i for (i, x), y in zip(lines, told, strict=True) if y or GIVEAWAYS.search(x)]] = True
                 machine |= np.array([taken_elsewhere(n or "", a) for n, a in zip(b["full_name"], aboves, strict=True)])
-                by_path = scores("path", paths, *views["path"]) > 0
+                by_path = scores("path", paths, *views["path"]) > PATH_MARGIN
                 by_path |= np.array([vendor_folder(p) for p in paths])
                 outside = [outside_notice(n or "", a) for n, a in zip(b["full_name"], aboves, strict=True)]
                 yield pd.DataFrame({"full_name": b["full_name"], "path": b["path"], "digest": digests, "machine": np.where(there, machine, by_path), "outside": outside})
