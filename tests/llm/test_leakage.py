@@ -51,3 +51,7 @@ def test_removal(spark):
     assert [tuple(r) for r in leaks.collect()] == [(1, 7, 1, 13)]
     assert sorted(r.doc_id for r in k.drop_leaked(d, leaks).collect()) == [2, 3]
     assert {r.doc_id: r.text for r in k.cut_leaked(d, leaks).collect()} == {1: "Before, ! After.", 2: "clean", 3: None}
+
+
+def test_letters_that_lowering_lengthens_stay_one_word():
+    assert k.words_of("\u0130stanbul, Ev") == ["i\u0307stanbul", "ev"]

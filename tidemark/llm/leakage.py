@@ -24,8 +24,11 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of Unicode letters and digits in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of Unicode letters and digits in lower case; a text that lowering lengthens (a dotted I becomes two signs) is cut before it is lowered."""
+    if not text:
+        return []
+    low = text.lower()
+    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
