@@ -124,3 +124,16 @@ def facet(repositories: DataFrame, column: str, *, limit: int = 100) -> DataFram
     """The first `limit` values of a column among repositories that aren't archived."""
     rows = repositories.where(~F.col("is_archived") & F.col(column).isNotNull())
     return rows.select(F.col(column).alias("value")).distinct().orderBy("value").limit(limit)
+
+
+def camel(name: str) -> str:
+    head, *rest = name.split("_")
+    return head + "".join(x.capitalize() for x in rest)
+
+
+def response_body(items: DataFrame) -> DataFrame:
+    """Leaderboard items as the fields of a response: camel-case names, null numbers as 0 but for the two deltas, null texts as their defaults."""
+    defaults = {"description": "", "language": "Unknown", "license": "NOASSERTION"}
+    numbers = {"stars": 0, "forks": 0, "score": 0.0, "confidence": 0.0, "global_rank": 0, **{f"{c}_score": 0.0 for c in ("adoption", "maintenance", "quality", "depth", "originality", "attention")}}
+    filled = [F.coalesce(c, F.lit(v)).alias(camel(c)) for c, v in (defaults | numbers).items()]
+    return items.select("item_id", F.col("full_name").alias("fullName"), "owner", "name", *filled, *[F.col(c).alias(camel(c)) for c in ("rank_delta", "score_delta")])

@@ -156,3 +156,19 @@ def facets_language(spark: SparkSession, folder: str) -> DataFrame:
 @R.query("facets_license", "select distinct license_spdx as value from repositories where not is_archived and license_spdx is not null order by 1 limit 100")
 def facets_license(spark: SparkSession, folder: str) -> DataFrame:
     return leaderboard.facet(table(spark, folder, "repositories"), "license_spdx")
+
+
+_ZEROED = ["score", "confidence", "adoption_score", "maintenance_score", "quality_score", "depth_score", "originality_score", "attention_score"]
+
+
+@R.query(
+    "leaderboard_body",
+    """select item_id, full_name as "fullName", owner, name, coalesce(description, '') as description, coalesce(language, 'Unknown') as language, coalesce(license, 'NOASSERTION') as license,
+      coalesce(stars, 0) as stars, coalesce(forks, 0) as forks, coalesce(global_rank, 0) as "globalRank", rank_delta as "rankDelta", round(score_delta, 6) as "scoreDelta", """
+    + ", ".join(f'round(coalesce({c}, 0), 6) as "{leaderboard.camel(c)}"' for c in _ZEROED)
+    + " from leaderboard_items",
+)
+def leaderboard_body(spark: SparkSession, folder: str) -> DataFrame:
+    """Every leaderboard item as the fields of a response."""
+    body = leaderboard.response_body(table(spark, folder, "leaderboard_items"))
+    return body.withColumns({c: F.round(c, 6) for c in [*map(leaderboard.camel, _ZEROED), "scoreDelta"]})
