@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import growth
+from tidemark.operators import leaderboard as board
 from tidemark.operators.leaderboard import page
 from tidemark.operators.ranking import global_rank, percentiles
 
@@ -42,3 +43,13 @@ def test_page_bounds(spark):
     assert [r.full_name for r in rows] == ["o/r0", "o/r2", "o/r1"] and {r.total_count for r in rows} == {3}
     assert rows[0].score_delta == pytest.approx(0.2) and rows[1].rank_delta is None and rows[0].language == "Unknown"
     assert page(df, offset=10).count() == 0 and page(df, owner="nobody").count() == 0
+
+
+def test_response_body_fills_numbers_and_keeps_null_deltas(spark):
+    scores = [f"{c}_score" for c in ("adoption", "maintenance", "quality", "depth", "originality", "attention")]
+    schema = "item_id long, full_name string, owner string, name string, description string, language string, license string, stars int, forks int, score double, confidence double, global_rank int, rank_delta int, score_delta double, fullName_ string, " + ", ".join(f"{c} double" for c in scores)
+    df = spark.createDataFrame([(1, "o/n", "o", "n", *[None] * (11 + len(scores)))], schema)
+    (row,) = board.response_body(df).collect()
+    assert (row.fullName, row.description, row.language, row.license) == ("o/n", "", "Unknown", "NOASSERTION")
+    assert (row.stars, row.score, row.globalRank, row.adoptionScore) == (0, 0.0, 0, 0.0) and row.rankDelta is None and row.scoreDelta is None
+    assert board.response_body(df.limit(0)).count() == 0
