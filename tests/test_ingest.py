@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,24 @@ def test_stream_replays_nothing(spark, tmp_path):
     run()
     days = sorted(str(r.captured_at)[:10] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert days == ["2026-01-01", "2026-01-02", "2026-01-03"]
+
+
+def test_streams_keep_late_events_of_later_batches(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    event = lambda i, at: json.dumps({"event_id": str(i), "source": "github", "captured_at": f"2026-{at}:00:00Z", "full_name": "o/r", "html_url": "u"})
+    for k, rows in enumerate([[(1, "06-01T10"), (2, "06-01T12")], [(3, "01-01T05")], [(4, "06-01T11"), (5, "01-01T04"), (6, "06-02T00")], [(3, "01-01T05")]]):
+        (src / f"{k}.json").write_text("\n".join(event(*r) for r in rows))
+        os.utime(src / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    read = lambda: streaming.read_events(spark, str(src), files_per_trigger=1)
+    streaming.ingest(read(), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2", "3", "4", "5", "6"]
+    daily, state = str(tmp_path / "daily"), tmp_path / "daily-state"
+    want = [("2026-01-01", "3", 3), ("2026-06-01", "2", 3), ("2026-06-02", "6", 1)]
+    days = lambda: sorted((str(r.day)[:10], r.event_id, r.events) for r in streaming.latest_days(spark, daily).collect())
+    streaming.daily_latest(read(), daily, str(state))
+    assert days() == want
+    for f in (state / "commits").glob("*3*"):  # the last batch is replayed
+        f.unlink()
+    streaming.daily_latest(read(), daily, str(state))
+    assert days() == want

@@ -251,7 +251,7 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.query("stream_daily_latest")
 def stream_daily_latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The last event of each repository, source and day, of the days that a stream closed."""
+    """The last event of each repository, source and day, kept up by a stream."""
     at = _fresh(spark, "daily")
     streaming.daily_latest(streaming.read_events(spark, _events(spark, folder)), at, _fresh(spark, "daily-state"))
-    return spark.read.parquet(at)
+    return streaming.latest_days(spark, at)
