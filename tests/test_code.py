@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import codebase as c
+from tidemark.plans.code import R
 
 
 def paths(spark, *names):
@@ -33,3 +36,12 @@ def test_scan_budget_and_secrets(spark):
     assert got == {"a.py": False, "b.py": True, "c.py": False}
     context = c.project_context(c.scan(df, max_files=3)).first()
     assert context.frameworks == ["spark"] and context.files == 3 and context.languages == ["python"]
+
+
+def test_whole_scan_reads_up_to_the_full_budget(spark, tmp_path):
+    rows = [("o/many", f"f{i:03}.py", "token = 1" if i == 119 else "x") for i in range(130)] + [("o/large", f"f{i:02}.py", "y" * 99_000) for i in range(15)]
+    df = spark.createDataFrame(rows, "full_name string, path string, content string").selectExpr("*", "timestamp_ntz'2026-01-01 00:00:00' as fetched_at", "1L as file_id")
+    df.write.parquet(str(tmp_path / "source_files.parquet"))
+    got = R.queries["safe_scan_whole"](spark, str(tmp_path)).collect()
+    assert Counter(r.full_name for r in got) == {"o/many": 120, "o/large": 11}
+    assert [r.path for r in got if r.secret] == ["f119.py"]

@@ -122,6 +122,12 @@ def safe_scan(spark: SparkSession, folder: str) -> DataFrame:
     return c.scan(contents(spark, folder), max_files=5, max_bytes=6_000).select("full_name", "path", "secret")
 
 
+@R.query("safe_scan_whole", R.sql["safe_scan"].replace("read < 5 and consumed < 6000", "read < 120 and consumed < 1000000"))
+def safe_scan_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """What a scan within the operator's own limits, 120 files and 1,000,000 bytes a repository, reads."""
+    return c.scan(contents(spark, folder)).select("full_name", "path", "secret")
+
+
 @R.query("project_context")
 def project_context(spark: SparkSession, folder: str) -> DataFrame:
     return c.project_context(c.scan(contents(spark, folder)))
