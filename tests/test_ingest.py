@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest, pairs, search
+from tidemark.plans.search import R
 from tidemark.schemas import with_defaults
 from tidemark.sources import jsonl
 from tidemark.streaming import ingest as streaming
@@ -69,6 +70,23 @@ def test_search_edges(spark):
     assert [r.id for r in got] == [1, 2]
 
 
+def test_every_search_has_its_result(spark, tmp_path):
+    at = str(tmp_path)
+    spark.createDataFrame([(20, "s", "en", "fast cache"), (30, "s", "en", "no query"), (40, "s", "en", "slow disk")], "item_id long, suite string, lang string, text string").write.parquet(f"{at}/eval_items.parquet")
+    spark.createDataFrame([(i, "web", None, f"{w} {w}", 9) for i, w in ((1, "cache"), (20, "word"), (40, "disk"))], "doc_id long, source string, lang string, text string, n_chars int").write.parquet(f"{at}/documents.parquet")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (20, [1.0, 1.0]), (40, [0.0, 2.0]), (60, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    vectors.write.parquet(f"{at}/embeddings.parquet")
+    rows = lambda name: R.queries[name](spark, at).collect()
+    assert {(r.query, r.doc) for r in rows("hybrid_top50_all") if r.place == 1} == {(20, 1), (40, 40)}
+    assert {(r.query, r.rank) for r in rows("blend_final_all")} == {(q, k) for q in (20, 40) for k in (1, 2, 3)}
+    assert sorted((r.query, r.similarity) for r in rows("semantic_by_source_all")) == [(20, 1.0), (40, 1.0), (60, 0.0)]
+    vectors.where("vec_id <> 40").write.parquet(f"{at}/less/embeddings.parquet")
+    for t in ("eval_items", "documents"):
+        spark.read.parquet(f"{at}/{t}.parquet").write.parquet(f"{at}/less/{t}.parquet")
+    with pytest.raises(Exception, match="no vector for item 40"):
+        R.queries["hybrid_top50_all"](spark, f"{at}/less").collect()
+
+
 def test_full_text(spark):
     rows = [("o/vector-db", "searching things", ["cache"], 5, False), ("o/other", "search engines", [], 9, False), ("o/gone", "vector search", [], 1, True)]
     df = spark.createDataFrame(rows, "full_name string, description string, topics array<string>, stars int, is_archived boolean")

@@ -63,21 +63,41 @@ def _pack(block: int):  # noqa: ANN202
     return pack
 
 
+def _block_pairs(vectors: DataFrame, queries: DataFrame, id: str, vector: str, block: int) -> DataFrame:  # noqa: A002
+    rows = lambda df: df.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null").mapInArrow(_pack(block), "ids array<bigint>, matrix binary")
+    return rows(queries).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")).crossJoin(rows(vectors))
+
+
+def _product(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    q_ids, ids = np.array(r["q_ids"]), np.array(r["ids"])
+    q, m = (np.frombuffer(r[c], dtype="<f8").reshape(len(n), -1) for c, n in (("q_matrix", q_ids), ("matrix", ids)))
+    return q_ids, ids, q @ m.T
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str, block: int = 1024) -> DataFrame:  # noqa: A002
+    """(query, id, similarity): the cosine of every query with every vector, also with its own. All vectors must have one length."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                q_ids, ids, s = _product(r)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, len(ids))), pa.array(np.tile(ids, len(q_ids))), pa.array(s.ravel())], names=["query", "id", "similarity"])
+
+    return _block_pairs(vectors, queries, id, vector, block).mapInArrow(multiply, "query bigint, id bigint, similarity double")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str, k: int, block: int = 1024) -> DataFrame:  # noqa: A002
     """(query, id, similarity, place): the k most similar vectors of each query, exactly, by cosine.
 
     Queries and vectors are packed into blocks; each pair of blocks is one matrix product that keeps k rows a query, and the
     blocks' winners meet in a window by query. A query doesn't find itself. All vectors must have one length.
     """
-    rows = lambda df: df.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null").mapInArrow(_pack(block), "ids array<bigint>, matrix binary")
-    pairs = rows(queries).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")).crossJoin(rows(vectors))
+    pairs = _block_pairs(vectors, queries, id, vector, block)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                q_ids, ids = np.array(r["q_ids"]), np.array(r["ids"])
-                q, m = (np.frombuffer(r[c], dtype="<f8").reshape(len(n), -1) for c, n in (("q_matrix", q_ids), ("matrix", ids)))
-                s = q @ m.T
+                q_ids, ids, s = _product(r)
                 s[q_ids[:, None] == ids[None, :]] = -np.inf
                 best = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 9)), axis=1)[:, :k]
                 qi = np.repeat(q_ids, best.shape[1])

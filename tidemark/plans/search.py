@@ -76,6 +76,16 @@ def semantic_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("source", "lang").agg(F.round(F.max(search.cosine(F.col("q"), F.col("embedding"))), 6).alias("similarity"))
 
 
+@R.query("semantic_by_source_all", f"""select a.vec_id as query, d.source, coalesce(d.lang, '') as lang, round(max({_COS}), 6) as similarity from embeddings a join embeddings b on a.vec_id % 20 = 0 join documents d on d.doc_id = b.vec_id
+  group by all""")
+def semantic_by_source_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The best similarity to every vector whose id is divisible by 20, within each source and language."""
+    vectors = table(spark, folder, "embeddings")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source", F.coalesce("lang", F.lit("")).alias("lang"))
+    rows = search.similarities(vectors, vectors.where("vec_id % 20 = 0"), id="vec_id", vector="embedding").join(docs, "id")
+    return rows.groupBy("query", "source", "lang").agg(F.round(F.max("similarity"), 6).alias("similarity"))
+
+
 _HYBRID = f"""{_BM25.replace('item_id % 20 = 0', "item_id = 20")},
 v as (select {{q}} as query, b.vec_id as doc, {_COS} as cosine from embeddings b cross join (select embedding from embeddings order by vec_id limit 1) a where b.vec_id in (select doc_id from documents)),
 hy as (select v.query, v.doc, 0.45e0 * coalesce(bm25, 0.0e0) / greatest(1e-6, (select max(bm25) from lex)) + 0.55e0 * (cosine + 1.0e0) / 2.0e0 as hybrid from v left join lex on lex.doc = v.doc),
@@ -96,16 +106,50 @@ def hybrid_top50(spark: SparkSession, folder: str) -> DataFrame:
     return _hybrid(spark, folder).select("query", "doc", F.round("hybrid", 6).alias("hybrid"), F.col("place").cast("long"))
 
 
+def _blended(spark: SparkSession, folder: str, candidates: DataFrame) -> DataFrame:
+    sizes = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("n_chars", F.lit(0)).alias("n"))
+    learned = 1.0 / (1.0 + F.exp(-(F.log1p("n") - 6.0)))
+    rows = search.blend(candidates.join(sizes, "doc"), learned=learned, cross=F.col("n") / 1000.0 - 1.0)
+    return search.top_k(rows.drop("place"), query="query", doc="doc", score="final", k=10)
+
+
 @R.query("blend_final", _HYBRID + """, x as (select p.*, 1.0e0 / (1.0e0 + exp(-(ln(1 + coalesce(n_chars, 0)) - 6.0e0))) as learned, coalesce(n_chars, 0) / 1000.0e0 - 1.0e0 as rerank from pl p join documents d on d.doc_id = p.doc where place <= 50),
 y as (select doc, 0.25e0 * hybrid + 0.25e0 * learned + 0.5e0 / (1.0e0 + exp(-greatest(-20.0e0, least(20.0e0, case when place <= 20 then rerank else learned end)))) as final from x)
 select doc, round(final, 6) as final, rank from (select *, row_number() over (order by round(final, 9) desc, doc) as rank from y) where rank <= 10""")
 def blend_final(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best of the hybrid candidates after blending with a learned and a cross score; stand-ins made of the length here."""
-    sizes = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("n_chars", F.lit(0)).alias("n"))
-    learned = 1.0 / (1.0 + F.exp(-(F.log1p("n") - 6.0)))
-    rows = search.blend(_hybrid(spark, folder).join(sizes, "doc"), learned=learned, cross=F.col("n") / 1000.0 - 1.0)
-    best = search.top_k(rows.drop("place"), query="query", doc="doc", score="final", k=10)
-    return best.select("doc", F.round("final", 6).alias("final"), F.col("place").cast("long").alias("rank"))
+    return _blended(spark, folder, _hybrid(spark, folder)).select("doc", F.round("final", 6).alias("final"), F.col("place").cast("long").alias("rank"))
+
+
+_HYBRID_ALL = f"""{_BM25},
+v as (select a.vec_id as query, b.vec_id as doc, {_COS} as cosine from embeddings a cross join embeddings b where a.vec_id in (select item_id from eval_items where item_id % 20 = 0) and b.vec_id in (select doc_id from documents)),
+mx as (select query, max(bm25) as best from lex group by query),
+hy as (select v.query, v.doc, 0.45e0 * coalesce(bm25, 0.0e0) / greatest(1e-6, coalesce(best, 0.0e0)) + 0.55e0 * (cosine + 1.0e0) / 2.0e0 as hybrid from v left join lex on lex.query = v.query and lex.doc = v.doc left join mx on mx.query = v.query),
+pl as (select *, row_number() over (partition by query order by round(hybrid, 9) desc, doc) as place from hy)"""
+
+
+def _hybrid_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The hybrid search of every item whose id is divisible by 20, with the vector of that id; an item without one fails the query."""
+    vectors, docs, items = table(spark, folder, "embeddings"), table(spark, folder, "documents"), _queries(spark, folder)
+    known = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    asked = items.select(F.col("query_id").alias("vec_id")).join(vectors, "vec_id", "left")
+    lacks = F.raise_error(F.concat(F.lit("no vector for item "), F.col("vec_id")))
+    asked = asked.select("vec_id", F.when(F.col("embedding").isNull(), lacks).otherwise(F.col("embedding")).alias("embedding"))
+    dense = search.similarities(known, asked, id="vec_id", vector="embedding")
+    return search.hybrid(search.bm25(docs, items), dense.select("query", F.col("id").alias("doc"), F.col("similarity").alias("cosine")))
+
+
+@R.query("hybrid_top50_all", _HYBRID_ALL + "select query, doc, round(hybrid, 6) as hybrid, place from pl where place <= 50")
+def hybrid_top50_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _hybrid_all(spark, folder).select("query", "doc", F.round("hybrid", 6).alias("hybrid"), F.col("place").cast("long"))
+
+
+@R.query("blend_final_all", _HYBRID_ALL + """, x as (select p.*, 1.0e0 / (1.0e0 + exp(-(ln(1 + coalesce(n_chars, 0)) - 6.0e0))) as learned, coalesce(n_chars, 0) / 1000.0e0 - 1.0e0 as rerank from pl p join documents d on d.doc_id = p.doc where place <= 50),
+y as (select query, doc, 0.25e0 * hybrid + 0.25e0 * learned + 0.5e0 / (1.0e0 + exp(-greatest(-20.0e0, least(20.0e0, case when place <= 20 then rerank else learned end)))) as final from x)
+select query, doc, round(final, 6) as final, rank from (select *, row_number() over (partition by query order by round(final, 9) desc, doc) as rank from y) where rank <= 10""")
+def blend_final_all(spark: SparkSession, folder: str) -> DataFrame:
+    """blend_final for every item whose id is divisible by 20."""
+    return _blended(spark, folder, _hybrid_all(spark, folder)).select("query", "doc", F.round("final", 6).alias("final"), F.col("place").cast("long").alias("rank"))
 
 
 @R.query("fts_search")
