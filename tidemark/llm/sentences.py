@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import spread
 
-#: Characters of a text up to which single questions search it; longer ones are counted once.
+#: Characters of a text up to which a search may show that a word isn't used twice, before uses are counted; same answers.
 SHORT = 20_000
 #: Abbreviations up to which the table of corpus verdicts is broadcast; beyond it verdicts are joined to the documents.
 MAX_BROADCAST = 200_000
@@ -66,6 +66,8 @@ _INNER = regex.compile(r"[\s​‪-‮\"'“”„‘«»‹›(\[{「『（【
 _BREAKS = frozenset(" \t\n\r\x0b\x0c\x85\xa0\u2028\u2029\u202f\u3000\u200b([{\"'“”„«»（「")
 _ABBREVIATED = regex.compile(r"\p{L}{1,3}(?:\.\p{L}{1,3})+\Z")
 _WORD = regex.compile(r"[\p{L}\p{M}.]*\p{L}[\p{L}\p{M}]*\Z")
+_RUN = regex.compile(r"[\p{L}\p{M}.]*+\Z")
+_MAY_LEAD = frozenset(".\ufe0f")
 _GREEK = regex.compile(r"[Ͱ-ͽͿ-Ͽἀ-῿]")
 _THAI = regex.compile(r"(?<=[\u0e00-\u0e7f])[\s\u200b]++(?=[\u0e00-\u0e7f])")
 _CJK = regex.compile(r"[぀-ヿ㐀-鿿＀-￯]")
@@ -175,6 +177,25 @@ def period_uses(text: str) -> Iterator[tuple[str, str]]:
                 yield w, kind
 
 
+def asked_words(text: str) -> set[str]:
+    """All words in lower case whose verdict `sentences` may ask for, wherever a sentence before them ends."""
+    found = set()
+    for a, z, fenced in blocks(text):
+        if fenced:
+            continue
+        for m in _MARKS.finditer(text, _OPENING.match(text, a, z).end(), z):
+            if m.group() != ".":
+                continue
+            w = _RUN.search(_token(text, a, m.start())).group()
+            while w:
+                if _WORD.match(w):
+                    found.add(w.lower())
+                if w[0] not in _MAY_LEAD:
+                    break
+                w = w[1:]
+    return found
+
+
 _NONE: Counter = Counter()
 
 
@@ -194,6 +215,10 @@ class Verdicts:
             found.setdefault(w, Counter())[kind] += 1
         return found
 
+    @cached_property
+    def small(self) -> str:
+        return self.text.lower()
+
     @cached_property
     def plain(self) -> set[str]:
         """Words that stand without a period behind them, as written."""
@@ -205,10 +230,11 @@ class Verdicts:
         return set(_NAMED.findall(self.text))
 
     def again(self, word: str) -> bool:
-        """Whether the word stands with a period more than once."""
-        if len(self.text) <= SHORT:
-            return self.text.count(word + ".") > 1
-        return sum(self.own.get(word.lower(), _NONE).values()) > 1
+        """Whether the word is used with a period more than once, in whatever case."""
+        w = word.lower()
+        if len(self.text) <= SHORT and "Σ" not in self.text and self.small.count(w + ".") < 2:  # a sigma's small form depends on its place
+            return False
+        return sum(self.own.get(w, _NONE).values()) > 1
 
     def of(self, word: str) -> str:
         """'' for an ordinary word, 'never' and 'may' for abbreviations by whether they can end a sentence."""
@@ -377,6 +403,12 @@ def split_documents(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     whole; other columns are ignored; an empty table gives an empty result. The corpus's abbreviations are broadcast if
     there are at most `max_broadcast` of them, which is counted; otherwise they are joined to the words of the documents.
     """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            uses = [(r, w) for r, t in zip(b["row"], b["text"], strict=True) for w in asked_words(t)]
+            yield pd.DataFrame(uses, columns=["row", "word"])
+
     found = abbreviations(docs, text=text).persist()
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where("text is not null")
     small = found.count() <= max_broadcast
@@ -387,7 +419,7 @@ def split_documents(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     else:
         shared = None
         rows = rows.withColumn("row", F.xxhash64("doc", "text"))
-        used = rows.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}.]*\p{L}(?=\.)"), F.lit(0)))).alias("word"))
+        used = rows.select("row", "text").mapInPandas(ask, "row bigint, word string")
         verdicts = used.distinct().join(found, "word").groupBy("row").agg(F.collect_list("word").alias("words"), F.collect_list("verdict").alias("verdicts"))
         rows = rows.join(verdicts, "row", "left").select("doc", "text", "words", "verdicts")
 
