@@ -100,7 +100,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
             start, kind = -1, ""
             continue
         lead = line.lstrip()[0]
-        if lead not in _LEADS:  # nothing but text
+        if lead not in _LEADS and not lead.isdigit():  # nothing but text
             if start < 0:
                 start, kind = a, "plain"
             continue
@@ -358,7 +358,7 @@ def sentences(text: str | None, corpus: dict[str, str] | None = None) -> list[tu
             if close == e and text.find("«", cur, e) >= 0 and (f := _FRENCH.match(text, e, z)):
                 if text.count("«", cur, e) > text.count("»", cur, e):
                     close = f.end()
-            if (close + 1 >= z or text[close] != " " or text[close + 1] > "\u2030") and _MAY_BE_EMOJI.match(text, close, z) and (x := _EMOJI.match(text, close, z)):
+            if highest > "\u2030" and _MAY_BE_EMOJI.match(text, close, z) and (x := _EMOJI.match(text, close, z)):
                 close = x.end()
             if _ends(text, cur, m, close, z, v):
                 add(cur, close)
