@@ -237,20 +237,30 @@ class Verdicts:
         return sum(self.own.get(w, _NONE).values()) > 1
 
     def of(self, word: str) -> str:
-        """'' for an ordinary word, 'never' and 'may' for abbreviations by whether they can end a sentence."""
-        w = word.lower()
+        """'' for an ordinary word, 'never' and 'may' for abbreviations by whether they can end a sentence.
+
+        The document's own unambiguous uses decide first, then the corpus, then the list: a word that stands twice before a
+        small letter, and never without its period, is an abbreviation; one at a block's end, and never before a small letter,
+        can end a sentence, and is an ordinary word if it also stands without its period.
+        """
         if len(word) == 1 and word.isupper():
             return "never"  # an initial
-        if w in self.corpus:
-            return self.corpus[w]
+        w = word.lower()
         seen = self.own.get(w, _NONE) if self.again(word) else _NONE
         if seen["L"] >= 2 and word not in self.plain:
-            return "may" if seen["E"] else "never"
-        if seen["E"] and not seen["L"]:
-            return ""
-        if w in NEVER_LAST:
+            return "may" if seen["E"] or self.elsewhere(w, word) == "may" else "never"
+        told = self.elsewhere(w, word)
+        if told and seen["E"] and not seen["L"]:  # it can be last here; an ordinary word also stands without a period
+            return "" if word in self.plain or w in self.plain else "may"
+        return told
+
+    def elsewhere(self, small: str, word: str) -> str:
+        """What the corpus says of a word, or else the fixed list."""
+        if small in self.corpus:
+            return self.corpus[small]
+        if small in NEVER_LAST:
             return "never"
-        if w in MAY_BE_LAST or _ABBREVIATED.match(word):
+        if small in MAY_BE_LAST or _ABBREVIATED.match(word):
             return "may"
         return ""
 
