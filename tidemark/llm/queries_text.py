@@ -31,6 +31,6 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.query("p1_kept")
 def p1_kept(spark: SparkSession, folder: str) -> DataFrame:
-    """The hand-written files that remain: each path with content once."""
+    """The hand-written files that remain: each path once."""
     files = table(spark, folder, "source_files")
-    return sourcefiles.landed_once(files).drop("content").join(p1_found(spark, folder), ["full_name", "path"], "left_anti")
+    return files.where("full_name is not null and path is not null").select("full_name", "path").distinct().join(p1_found(spark, folder), ["full_name", "path"], "left_anti")

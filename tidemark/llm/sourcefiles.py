@@ -1,10 +1,11 @@
 """Source files that nobody wrote by hand for their repository: generated, minified, data saved as code, or copied in.
 
-Three linear support-vector classifiers are trained on hashed features of a bounded sample of weakly labelled files: one on
-character n-grams of the code without its comments (so that giveaway headers are masked), one on character n-grams of the
-comment lines above the code, one on path components. The first learns from structure, the second from what stands above code
-that the structure or the folder gives away, so it also knows headers of forms that no pattern lists; the third judges files
-without content. Validation is split by repository. Copies are found by a digest of the code without white space and comments.
+Three linear support-vector classifiers are trained on hashed features of a bounded sample of files: one on character n-grams
+of the code without its comments (so that giveaway headers are masked), one on character n-grams of the comment lines above the
+code, one on path components. The first learns from structure, the second from what stands above code that the structure or the
+folder gives away, so it also knows headers of forms that no pattern lists; the third, which judges files without content, from
+the paths of the files that the other two have judged. Validation is split by repository. Copies are found by a digest of the
+code without white space and comments.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import spread
+from tidemark.session import materialize, spread
 
 #: Files of the training sample, about; all files of smaller tables. The only sampling: every file is judged.
 SAMPLE_FILES = 4_000
@@ -27,8 +28,8 @@ SAMPLE_FILES = 4_000
 FEATURES = 1 << 15
 #: Files of the sample that a path component must be of to count.
 LEAST_PATHS = 8
-#: Margin from which a path alone tells: names say less than code, so a file without content isn't judged on a bare majority.
-PATH_MARGIN = 0.5
+#: Comment lines of a file of the sample that are used in training, at most; all lines are judged.
+SAMPLE_LINES = 20
 #: One repository in so many is held out for validation.
 HELD_OUT = 5
 
@@ -36,9 +37,9 @@ HELD_OUT = 5
 HASH_COMMENTS = frozenset("py pyi rb sh pl r jl yml yaml toml".split())
 # Folders of copied-in projects.
 VENDOR_FOLDERS = frozenset("vendor _vendor third_party thirdparty third-party node_modules external extern deps bower_components".split())
-# Wordings above generated files, anchored to be about the file itself.
+# Wordings above generated files, anchored to be about the file itself. They label the sample and judge no file.
 GIVEAWAYS = re.compile(
-    r"^\W*(?:code generated by\b|@generated\b(?! marker)|auto-?generated (?:file|by|from|code)|<auto-generated|output of `|(?:this|the) (?:file|code) (?:is|was|has been) (?:automatically|auto-?|machine)[ -]?generated"
+    r"^\W*(?:code generated by\b|@generated\b|auto-?generated (?:file|by|from|code)|<auto-generated|(?:this|the) (?:file|code) (?:is|was|has been) (?:automatically|auto-?|machine)[ -]?generated"
     r"|generated (?:by|from|with) \S+|automatisch erzeugt|autogenerado|g[ée]n[ée]r[ée] automatiquement|автоматически сгенерирован|自动生成|.*自動生成)",
     re.I | re.M,
 )
@@ -212,41 +213,64 @@ def vendor_folder(path: str) -> bool:
 
 @dataclass
 class Classifiers:
-    """Weights and bias of each view, and the labelled validation files' counts."""
+    """Weights and bias of each view, and for each the right and wrong verdicts on held-out repositories.
+
+    validation: (view, labels, true positives, false positives, false negatives, true negatives). The labels of a view are
+    those of its training (`rules`; `content` for paths) and, for code and comments, what the other of the two says (`other`).
+    """
 
     views: dict[str, tuple[np.ndarray, float]]
-    validation: list[tuple[str, int, int, int, int]]
+    validation: list[tuple[str, str, int, int, int, int]]
+
+
+def _feature_rows(view: str, rows: list[tuple[str, str, bool, bool | None, str]]) -> dict[str, list]:
+    """The rows (view, full_name, label, the other view's label, text) of a view with their features and values."""
+    out: dict[str, list] = {"view": [], "full_name": [], "label": [], "other": [], "features": [], "values": []}
+    own = [r for r in rows if r[0] == view]
+    f, of = VIEWS[view]([r[4] for r in own])
+    pairs, n = np.unique(of * FEATURES + f, return_counts=True)
+    of, f = np.divmod(pairs, FEATURES)
+    ends = np.searchsorted(of, np.arange(len(own) + 1))
+    for r, a, z in zip(own, ends[:-1], ends[1:], strict=True):
+        if a < z:
+            for c, v in zip(out, (*r[:2], float(r[2]), None if r[3] is None else float(r[3]), f[a:z].tolist(), (n[a:z] / n[a:z].sum() * _scale(view)).tolist()), strict=True):
+                out[c].append(v)
+    return out
+
 
+_LABELLED = "view string, full_name string, label double, other double, features array<int>, values array<float>"
 
-def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(view, full_name, label, features, values) of the sample's files, for each view that can tell something of them."""
+
+def _code_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Code whose structure tells something, with that as its label."""
     for b in batches:
         rows = []
         for name, path, content in b[["full_name", "path", "content"]].itertuples(index=False):
             code, above = split_comments(path, content)
-            made = structure_evidence(code)
-            said = line_says(name, above)
-            if made is not None:
-                rows.append(("code", name, made, code))
-            for line in comment_lines(above) if made is not None or said or vendor_folder(path) else []:
-                rows.append(("comment", name, bool(made) or line_says(name, line) or vendor_folder(path), line))
-            if made is not None or said or vendor_folder(path):
-                rows.append(("path", name, bool(made) or said or vendor_folder(path), path))
-        out = {"view": [], "full_name": [], "label": [], "features": [], "values": []}
-        for view, extract in VIEWS.items():
-            own = [r for r in rows if r[0] == view]
-            f, of = extract([r[3] for r in own])
-            pairs, n = np.unique(of * FEATURES + f, return_counts=True)
-            of, f = np.divmod(pairs, FEATURES)
-            ends = np.searchsorted(of, np.arange(len(own) + 1))
-            for r, a, z in zip(own, ends[:-1], ends[1:], strict=True):
-                if a < z:
-                    out["view"].append(view)
-                    out["full_name"].append(r[1])
-                    out["label"].append(float(r[2]))
-                    out["features"].append(f[a:z].tolist())
-                    out["values"].append((n[a:z] / n[a:z].sum() * _scale(view)).tolist())
-        yield pd.DataFrame(out)
+            made, copied = structure_evidence(code), outside_notice(name, above) or taken_elsewhere(name, above) or vendor_folder(path)
+            if made is not None:  # comments tell of generated code only by saying so, and nothing of copied code
+                rows.append(("code", name, made, True if GIVEAWAYS.search(above) else None if copied or not above else False, code))
+        yield pd.DataFrame(_feature_rows("code", rows))
+
+
+def _comment_rows(batches: Iterator[pd.DataFrame], weights: np.ndarray, bias: float) -> Iterator[pd.DataFrame]:
+    """Comment lines, labelled by what the first classifier says of the code below, by the line's own words and by the folder."""
+    for b in batches:
+        files = [(n, p, *split_comments(p, c)) for n, p, c in b[["full_name", "path", "content"]].itertuples(index=False)]
+        files = [x for x in files if code_digest(x[2]) and comment_lines(x[3])]
+        made = scores("code", [x[2] for x in files], weights, bias) > 0
+        rows = []
+        for (name, path, code, above), m in zip(files, made.tolist(), strict=True):
+            other = structure_evidence(code)
+            rows += [("comment", name, m or line_says(name, x) or vendor_folder(path), other, x) for x in comment_lines(above)[:SAMPLE_LINES]]
+        yield pd.DataFrame(_feature_rows("comment", rows))
+
+
+def _path_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Paths, labelled by what the other classifiers say of the content."""
+    for b in batches:
+        rows = [("path", n, m or o, None, p) for n, p, m, o in b[["full_name", "path", "machine", "outside"]].itertuples(index=False)]
+        yield pd.DataFrame(_feature_rows("path", rows))
 
 
 def fit_support_vectors(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, cost: float = 10.0, epochs: int = 30, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -273,42 +297,58 @@ def fit_support_vectors(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.nd
 
 
 def train(files: DataFrame, *, sample_files: int = SAMPLE_FILES) -> Classifiers:
-    """Fit the three classifiers on a sample of about `sample_files` files with content.
+    """Fit the three classifiers on a sample of about `sample_files` files.
 
     The files are chosen by a hash of their name and turned into labelled features by the executors; the features, a bounded
-    number, are fitted on the driver. Repositories whose hash is divisible by HELD_OUT are kept for validation. A view without
-    both labels gets weights of 0 and a bias of -1, which finds nothing.
+    number, are fitted on the driver. Then the first two classifiers judge the sample, and the third is fitted to the paths.
+    Repositories whose hash is divisible by HELD_OUT are kept for validation. A view without both labels gets weights of 0 and
+    a bias of -1, which finds nothing.
     """
-    rows = files.select("full_name", "path", "content").where("content is not null and full_name is not null and path is not null")
-    share = min(1.0, sample_files / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("full_name", "path"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    schema = "view string, full_name string, label double, features array<int>, values array<float>"
-    labelled = sample.mapInPandas(_labelled, schema).withColumn("held_out", F.pmod(F.xxhash64("full_name"), F.lit(HELD_OUT)) == 0)
-    told = labelled.drop("full_name").toPandas()
-    views, validation = {}, []
-    for view in VIEWS:
-        own = told[told["view"] == view]
-        held_out = own["held_out"].astype(bool)
-        fit, rest = own[~held_out].copy(), own[held_out]
-        if view == "path":  # names of single files tell nothing of others
-            n = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *fit["features"]]).astype(np.int64), minlength=FEATURES)
-            fit["values"] = [np.where(n[np.asarray(i)] < LEAST_PATHS, 0.0, v) for i, v in zip(fit["features"], fit["values"], strict=True)]
-        if fit["label"].nunique() < 2:
-            views[view] = (np.zeros(FEATURES), -1.0)
-            continue
-        views[view] = w, bias = fit_support_vectors([(np.asarray(i), np.asarray(v, dtype=float)) for i, v in zip(fit["features"], fit["values"], strict=True)], fit["label"].to_numpy())
-        said = np.array([w[np.asarray(i)] @ np.asarray(v, dtype=float) + bias > 0 for i, v in zip(rest["features"], rest["values"], strict=True)], dtype=bool)
-        true = rest["label"].to_numpy() > 0
-        validation.append((view, int((said & true).sum()), int((said & ~true).sum()), int((~said & true).sum()), int((~said & ~true).sum())))
-    return Classifiers(views, validation)
-
-
-_JUDGED = "full_name string, path string, digest string, machine boolean, outside boolean"
+    rows = files.select("full_name", "path", "content").where("full_name is not null and path is not null")
+    share = min(1.0, sample_files / max(1, rows.select("full_name").count()))
+    sample = rows.where("content is not null").where(F.pmod(F.xxhash64("full_name", "path"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = materialize(sample, "sample")
+    found = Classifiers({}, [])
+    stages = {
+        "code": lambda: sample.mapInPandas(_code_rows, _LABELLED),
+        "comment": lambda: sample.mapInPandas(lambda b, w=found.views["code"]: _comment_rows(b, *w), _LABELLED),
+        "path": lambda: judge(sample, found).where("digest <> ''").mapInPandas(_path_rows, _LABELLED),
+    }
+    for view, labelled in stages.items():
+        told = labelled().withColumn("held_out", F.pmod(F.xxhash64("full_name"), F.lit(HELD_OUT)) == 0).drop("full_name").toPandas()
+        found.views[view], checked = _fit(view, told)
+        found.validation += checked
+    return found
+
+
+def _fit(view: str, told: pd.DataFrame) -> tuple[tuple[np.ndarray, float], list[tuple[str, str, int, int, int, int]]]:
+    held_out = told["held_out"].astype(bool)
+    fit, rest = told[~held_out].copy(), told[held_out]
+    if view == "path":  # names of single files tell nothing of others
+        n = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *fit["features"]]).astype(np.int64), minlength=FEATURES)
+        fit["values"] = [np.where(n[np.asarray(i)] < LEAST_PATHS, 0.0, v) for i, v in zip(fit["features"], fit["values"], strict=True)]
+    if fit["label"].nunique() < 2:
+        return (np.zeros(FEATURES), -1.0), []
+    w, bias = fit_support_vectors([(np.asarray(i), np.asarray(v, dtype=float)) for i, v in zip(fit["features"], fit["values"], strict=True)], fit["label"].to_numpy())
+    said = np.array([w[np.asarray(i)] @ np.asarray(v, dtype=float) + bias > 0 for i, v in zip(rest["features"], rest["values"], strict=True)], dtype=bool)
+    checked = []
+    for kind, labels in (("content" if view == "path" else "rules", rest["label"]), ("other", rest["other"])):
+        known = labels.notna().to_numpy()
+        s, true = said[known], labels[known].to_numpy() > 0
+        if known.any():
+            checked.append((view, kind, int((s & true).sum()), int((s & ~true).sum()), int((~s & true).sum()), int((~s & ~true).sum())))
+    return (w, bias), checked
+
+
+_JUDGED = "full_name string, path string, fetched_at timestamp_ntz, file_id bigint, digest string, machine boolean, outside boolean"
 
 
 def judge(files: DataFrame, found: Classifiers) -> DataFrame:
-    """(full_name, path, digest, machine, outside) of each file: the digest of its code (null without content), whether it is
-    machine-made or taken by the classifiers and its comments, and whether these bear an outside project's notice."""
+    """Each file by itself: the digest of its code (null without content), whether it is machine-made or taken by the
+    classifiers and its comments (by its path without content), and whether these bear an outside project's notice.
+
+    fetched_at and file_id, which are null where files has no such columns, stay; contents don't leave the task that reads them.
+    """
     shared = files.sparkSession.sparkContext.broadcast(found.views)
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,7 +357,7 @@ def judge(files: DataFrame, found: Classifiers) -> DataFrame:
             for k in range(0, len(whole), 500):
                 b = whole.iloc[k : k + 500]
                 there = b["content"].notna().to_numpy()
-                paths = b["path"].fillna("").tolist()
+                paths = b["path"].tolist()
                 split = [split_comments(p, c) if t else ("", "") for p, c, t in zip(paths, b["content"], there, strict=True)]
                 codes, aboves = [x[0] for x in split], [x[1] for x in split]
                 digests = [code_digest(c) if t else None for c, t in zip(codes, there, strict=True)]
@@ -325,21 +365,25 @@ def judge(files: DataFrame, found: Classifiers) -> DataFrame:
                 machine = scores("code", codes, *views["code"]) > 0
                 if lines:
                     told = scores("comment", [x for _, x in lines], *views["comment"]) > 0
-                    machine[[i for (i, x), y in zip(lines, told, strict=True) if y or GIVEAWAYS.search(x)]] = True
-                machine |= np.array([taken_elsewhere(n or "", a) for n, a in zip(b["full_name"], aboves, strict=True)])
-                by_path = scores("path", paths, *views["path"]) > PATH_MARGIN
-                by_path |= np.array([vendor_folder(p) for p in paths])
-                outside = [outside_notice(n or "", a) for n, a in zip(b["full_name"], aboves, strict=True)]
-                yield pd.DataFrame({"full_name": b["full_name"], "path": b["path"], "digest": digests, "machine": np.where(there, machine, by_path), "outside": outside})
+                    machine[[i for (i, _), y in zip(lines, told, strict=True) if y]] = True
+                machine |= np.array([taken_elsewhere(n, a) for n, a in zip(b["full_name"], aboves, strict=True)], dtype=bool)
+                if not there.all():
+                    by_path = scores("path", paths, *views["path"]) > 0
+                    by_path |= np.array([vendor_folder(p) for p in paths])
+                    machine = np.where(there, machine, by_path)
+                outside = [outside_notice(n, a) for n, a in zip(b["full_name"], aboves, strict=True)]
+                yield b[["full_name", "path", "fetched_at", "file_id"]].assign(digest=digests, machine=machine, outside=outside)
 
-    return spread(files.select("full_name", "path", "content")).mapInPandas(tell, _JUDGED)
+    extra = [F.col(c).cast(t).alias(c) if c in files.columns else F.lit(None).cast(t).alias(c) for c, t in (("fetched_at", "timestamp_ntz"), ("file_id", "bigint"))]
+    rows = files.where("full_name is not null and path is not null").select("full_name", "path", *extra, "content")
+    return spread(rows).mapInPandas(tell, _JUDGED)
 
 
-def landed_once(files: DataFrame) -> DataFrame:
-    """One row per full_name and path: of several one with content, the latest fetched, the largest file_id."""
-    latest = F.struct(F.col("content").isNotNull().alias("a"), "fetched_at", "file_id")
-    rows = files.where("full_name is not null and path is not null").groupBy("full_name", "path").agg(F.max_by("content", latest).alias("content"))
-    return rows
+def landed_once(files: DataFrame, columns: list[str], *, there: Column) -> DataFrame:
+    """(full_name, path, columns): one row per full_name and path: of several one with content (`there`), the latest fetched, the largest file_id."""
+    latest = F.struct(there.alias("a"), "fetched_at", "file_id")
+    rows = files.where("full_name is not null and path is not null").groupBy("full_name", "path").agg(F.max_by(F.struct(*columns), latest).alias("x"))
+    return rows.select("full_name", "path", "x.*")
 
 
 def not_by_hand(files: DataFrame, repositories: DataFrame, *, found: Classifiers | None = None) -> DataFrame:
@@ -350,14 +394,17 @@ def not_by_hand(files: DataFrame, repositories: DataFrame, *, found: Classifiers
     repository (equal ages: the first by name; repositories without an age come last); only the others' copies count. Files
     empty but for white space and comments never count, files without content are judged by their path, files without
     full_name or path are left out. An empty table gives an empty result; other columns are ignored.
+
+    Every delivery is judged where it is read, in one scan; only the verdicts are written and shuffled. Files without content
+    have no digest and don't meet the copies.
     """
-    rows = landed_once(files)
-    told = judge(rows, found or train(files))
+    told = materialize(judge(files, found or train(files)), "judged")
+    told = landed_once(told, ["digest", "machine", "outside"], there=F.col("digest").isNotNull())
     ages = repositories.where("full_name is not null").groupBy(F.lower("full_name").alias("repo")).agg(F.min("created_at").alias("age"))
-    full = told.where("digest is null or digest <> ''").withColumn("repo", F.lower("full_name")).join(ages, "repo", "left")
+    full = told.where("digest <> ''").withColumn("repo", F.lower("full_name")).join(ages, "repo", "left")
     age = F.struct(F.col("age").isNull().alias("unknown"), "age", "repo")
-    groups = full.where("digest is not null").groupBy("digest").agg(F.min(age).alias("first"), F.max(age).alias("last"), F.max("outside").alias("any_outside"))
+    groups = full.groupBy("digest").agg(F.min(age).alias("first"), F.max(age).alias("last"), F.max("outside").alias("any_outside"))
     several = groups.where("any_outside or first.repo <> last.repo").select("digest", F.col("first.repo").alias("owner"), "any_outside")
-    known = full.join(several, "digest", "left")
-    counts = F.col("machine") | F.col("outside") | F.coalesce(F.col("any_outside") | (F.col("repo") != F.col("owner")), F.lit(False))
-    return known.where(counts).select("full_name", "path").distinct()
+    copied = F.coalesce(F.col("any_outside") | (F.col("repo") != F.col("owner")), F.lit(False))
+    counted = full.join(several, "digest", "left").where(F.col("machine") | F.col("outside") | copied)
+    return counted.select("full_name", "path").unionByName(told.where("digest is null and machine").select("full_name", "path"))
