@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import history
@@ -58,8 +59,45 @@ def test_merge_equals_rebuild(spark):
     assert show(merged) == brute(rows)
 
 
+def full(df):
+    return sorted(((r.key, r.valid_from, r.valid_to, r.is_current, r.seen_at, r.lic, r.arch) for r in df.collect()), key=str)
+
+
+def test_late_captures_rebuild_their_key(spark):
+    """Batches in the order of arrival, of which most hold captures older than, or at the instant of, what was seen before."""
+    rows = make(seed=3, n=240)
+    df = spark.createDataFrame(rows, SCHEMA)
+    take = lambda x: history.captures(x, key=F.lower("name"), at="at", order="sid", attributes={"lic": F.coalesce("lic", F.lit("NONE")), "arch": F.coalesce("arch", F.lit(False))})
+    got = history.history_by_batches(df, batch=F.when(F.col("sid") >= 40, F.floor(F.col("sid") / 60)), take=take)
+    assert show(got) == brute(rows) and full(got) == full(history.build_history(take(df)))
+
+
+def test_late_returning_and_equal_instants(spark):
+    day = lambda n: datetime(2026, 1, n)
+    cap = lambda i, n, x: (i, "a/b", day(n), x, False, "", "")
+    first = [cap(1, 1, "A"), cap(2, 9, "A"), (3, "c/d", day(1), "A", False, "", "")]
+    for batch, want in (
+        ([cap(4, 5, "B")], [(1, 5, "A"), (5, 9, "B"), (9, None, "A")]),  # splits a version that returns
+        ([cap(4, 9, "B")], [(1, 9, "A"), (9, None, "B")]),  # the instant of the last capture, delivered again
+        ([cap(4, 12, "A")], [(1, None, "A")]),  # nothing new
+        ([cap(4, 12, "B"), cap(5, 14, "A")], [(1, 12, "A"), (12, 14, "B"), (14, None, "A")]),  # returns within the batch
+        ([], [(1, None, "A")]),
+    ):
+        merged = history.merge_history(history.build_history(caps(spark, first)), caps(spark, batch), log=caps(spark, first + batch))
+        got = [(r.valid_from.day, r.valid_to and r.valid_to.day, r.lic) for r in merged.where("key = 'a/b'").orderBy("valid_from").collect()]
+        assert got == want and merged.where("key = 'c/d' and is_current").count() == 1
+        assert full(merged) == full(history.build_history(caps(spark, first + batch)))
+
+
+def test_late_captures_without_a_log_fail(spark):
+    first, batch = [(1, "a/b", datetime(2026, 1, 9), "A", False, "", "")], [(2, "a/b", datetime(2026, 1, 5), "B", False, "", "")]
+    with pytest.raises(ValueError, match="log"):
+        history.merge_history(history.build_history(caps(spark, first)), caps(spark, batch))
+
+
 def test_empty(spark):
     assert history.build_history(caps(spark, [])).count() == 0
+    assert history.merge_history(history.build_history(caps(spark, [])), caps(spark, [])).count() == 0
 
 
 def test_values_are_compared_apart(spark):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 
 def _hash(attrs: list[str]) -> Column:
     """A digest of the attribute values; each is preceded by its length, so no two lists of values are written alike."""
@@ -28,41 +30,64 @@ def captures(df: DataFrame, *, key: Column, at: str, order: str, attributes: Map
     return rows.select("key", "at", "x.a.*").withColumn("digest", _hash(attrs))
 
 
-def _changes(rows: DataFrame, over: list[str]) -> DataFrame:
+def _compared(rows: DataFrame, over: list[str]) -> DataFrame:
+    """Add `new`: whether a capture differs from the one before, and `newest`: whether none follows."""
     w = Window.partitionBy(*over).orderBy("at")
-    return rows.withColumn("was", F.lag("digest").over(w)).where("was is null or was <> digest").drop("was")
-
-
-def changes(rows: DataFrame, *, slice_unit: str = "month") -> DataFrame:
-    """Of the captures of each key those that differ from the one before, and the first.
+    return rows.withColumn("new", F.coalesce(F.lag("digest").over(w) != F.col("digest"), F.lit(True))).withColumn("newest", F.lead("at").over(w).isNull())
 
-    A hot key is compared slice by slice (key and month) first; only the changes within the slices meet in the key's own
-    window, so its size follows the number of versions, not of captures.
-    """
-    inside = _changes(rows.withColumn("slice", F.date_trunc(slice_unit, F.col("at").cast("timestamp"))), ["key", "slice"]).drop("slice")
-    return _changes(inside, ["key"])
 
+def build_history(rows: DataFrame, *, slice_unit: str = "month") -> DataFrame:
+    """Versions (key, valid_from, valid_to, is_current, seen_at, attributes..., digest) of captures.
 
-def build_history(rows: DataFrame) -> DataFrame:
-    """Versions (key, valid_from, valid_to, is_current, attributes..., digest) of captures; valid_to is null while open.
+    Each version runs from the first capture that shows it to the first that differs; values that return start anew. While it
+    is open, valid_to is null and seen_at is the key's last capture; in closed versions seen_at is null.
 
-    Each version runs from the first capture that shows it to the first that differs; values that return start anew.
+    A hot key is compared slice by slice (key and month) first; only the changes within the slices and their last captures meet
+    in the key's own window, so its size follows the number of versions and slices, not of captures.
     """
+    inside = _compared(rows.withColumn("slice", F.date_trunc(slice_unit, F.col("at").cast("timestamp"))), ["key", "slice"]).where("new or newest").drop("slice")
     w = Window.partitionBy("key").orderBy("at")
-    v = changes(rows).withColumn("valid_to", F.lead("at").over(w))
+    v = _compared(inside, ["key"]).withColumn("seen", F.max("at").over(Window.partitionBy("key"))).where("new").withColumn("valid_to", F.lead("at").over(w))
     rest = [c for c in rows.columns if c not in ("key", "at", "digest")]
-    return v.select("key", F.col("at").alias("valid_from"), "valid_to", F.col("valid_to").isNull().alias("is_current"), *rest, "digest")
+    open_ = F.col("valid_to").isNull()
+    return v.select("key", F.col("at").alias("valid_from"), "valid_to", open_.alias("is_current"), F.when(open_, F.col("seen")).alias("seen_at"), *rest, "digest")
+
 
+def merge_history(history: DataFrame, batch: DataFrame, *, log: DataFrame | None = None) -> DataFrame:
+    """Merge a batch of captures into a history: close changed versions, insert new open ones, keep the rest.
 
-def merge_history(history: DataFrame, batch: DataFrame) -> DataFrame:
-    """Merge a batch of later captures into a history: close changed versions, insert new open ones, keep the rest.
+    The batch's captures are compared by digest with the open version of their key: where none differs, only its seen_at moves;
+    otherwise the open version ends at the first capture that differs, and the batch's versions are inserted behind it. Keys
+    that history doesn't have come in new. Closed versions stay as they are.
 
-    The batch's changes are compared by digest with the open version of their key: equal to it, nothing happens; otherwise
-    the open version ends at the first capture that differs. Captures of the batch must not be older than the open version
-    they meet (late ones need `build_history` over the whole log). Closed versions pass through without a shuffle.
+    Late captures: a key with a capture in the batch that isn't newer than all seen before (an earlier instant, or the same one
+    delivered again) can't be merged into versions alone. Such keys are taken out and built anew from `log`: all captures so
+    far, those of the batch included. Without a log the query fails on them.
+    """
+    rest = [c for c in history.columns if c not in ("key", "valid_from", "valid_to", "is_current", "seen_at", "digest")]
+    current, closed = history.where("is_current"), history.where("not is_current")
+    oldest = batch.groupBy("key").agg(F.min("at").alias("oldest"))
+    late = materialize(current.select("key", "seen_at").join(oldest, "key").where("oldest <= seen_at").select("key"), "late")
+    if log is None and not late.isEmpty():
+        raise ValueError("the batch holds late captures, which need the log")
+    now = current.select("key", F.col("valid_from").alias("at"), *rest, "digest")
+    seen = current.where("seen_at > valid_from").select("key", F.col("seen_at").alias("at"), *rest, "digest")  # the same version, as it was last seen
+    rows = now.unionByName(seen).unionByName(batch.select(*now.columns)).join(late, "key", "left_anti")
+    if log is not None:
+        rows = rows.unionByName(log.select(*now.columns).join(late, "key", "left_semi"))
+    return closed.join(late, "key", "left_anti").select(*history.columns).unionByName(build_history(rows).select(*history.columns))
+
+
+def history_by_batches(rows: DataFrame, *, batch: Column, take: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The history of rows that arrive in batches: each batch is merged into the table that the merges before it wrote.
+
+    batch: the batch of a row, in the order of arrival, null the first; there should be few (months, say), as each is a merge
+    of its own and its number is known to the driver. take: turns rows into captures.
     """
-    open_rows, closed = history.where("is_current"), history.where("not is_current")
-    rest = [c for c in history.columns if c not in ("key", "valid_from", "valid_to", "is_current", "digest")]
-    current = open_rows.select("key", F.col("valid_from").alias("at"), *rest, "digest")
-    merged = build_history(current.unionByName(changes(batch).select("key", "at", *rest, "digest")))
-    return closed.unionByName(merged.select(*history.columns))
+    rows = rows.withColumn("_batch", batch)
+    numbers = [r[0] for r in rows.select("_batch").distinct().orderBy(F.col("_batch").asc_nulls_first()).collect()]
+    history = build_history(take(rows.limit(0)))
+    for n in numbers:
+        so_far = F.col("_batch").isNull() if n is None else F.col("_batch").isNull() | (F.col("_batch") <= F.lit(n))
+        history = materialize(merge_history(history, take(rows.where(F.col("_batch").eqNullSafe(F.lit(n)))), log=take(rows.where(so_far))), "history")
+    return history

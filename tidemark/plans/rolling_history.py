@@ -90,11 +90,16 @@ def snapshot_captures(df: DataFrame) -> DataFrame:
     return history.captures(df, key=F.lower("full_name"), at="captured_at", order="snapshot_id", attributes=attributes)
 
 
+def merged_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """The history of the snapshots as they landed, one merge for each month of landing; late captures rebuild their repository."""
+    rows = table(spark, folder, "repository_snapshots").select("full_name", "captured_at", "snapshot_id", "license_spdx", "archived", "description", "landed_at")
+    return history.history_by_batches(rows, batch=F.date_format("landed_at", "yyyy-MM"), take=snapshot_captures)
+
+
 @R.query("p4_found", _VERSIONS_SQL + "select full_name, strftime(captured_at, '%Y-%m-%d %H:%M:%S') as valid_from from versions")
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every version of a repository's license, archived flag and description, with its first capture."""
-    versions = history.build_history(snapshot_captures(table(spark, folder, "repository_snapshots")))
-    return versions.select(F.col("key").alias("full_name"), F.date_format("valid_from", _TIME).alias("valid_from"))
+    return merged_snapshots(spark, folder).select(F.col("key").alias("full_name"), F.date_format("valid_from", _TIME).alias("valid_from"))
 
 
 _P4_FULL = """select full_name, strftime(captured_at, '%Y-%m-%d %H:%M:%S') as valid_from, strftime(ended, '%Y-%m-%d %H:%M:%S') as valid_to,
@@ -109,13 +114,13 @@ def _show(versions: DataFrame) -> DataFrame:
 @R.query("p4_history", _VERSIONS_SQL + _P4_FULL)
 def p4_history(spark: SparkSession, folder: str) -> DataFrame:
     """The full history, with the values and the end of each version."""
-    return _show(history.build_history(snapshot_captures(table(spark, folder, "repository_snapshots"))))
+    return _show(merged_snapshots(spark, folder))
 
 
 @R.query("p4_merge", _VERSIONS_SQL + _P4_FULL)
 def p4_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """The same history by merging: captures until 1 March 2026 first, the later ones as a batch into it."""
-    rows = snapshot_captures(table(spark, folder, "repository_snapshots"))
-    cut = F.lit("2026-03-01").cast("timestamp_ntz")
-    first = history.build_history(rows.where(F.col("at") < cut))
-    return _show(history.merge_history(first, rows.where(F.col("at") >= cut)))
+    """The same history by one merge: what landed until 1 March 2026 built at once, what landed later as a batch into it."""
+    rows = table(spark, folder, "repository_snapshots")
+    early = F.coalesce(F.col("landed_at") < F.lit("2026-03-01").cast("timestamp_ntz"), F.lit(True))
+    first = history.build_history(snapshot_captures(rows.where(early)))
+    return _show(history.merge_history(first, snapshot_captures(rows.where(~early)), log=snapshot_captures(rows)))
