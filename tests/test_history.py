@@ -11,9 +11,12 @@ from tidemark.operators import history
 SCHEMA = "sid long, name string, at timestamp_ntz, lic string, arch boolean, key string, digest string"
 
 
-def caps(spark, rows):
-    df = spark.createDataFrame(rows, SCHEMA)
-    return history.captures(df, key=F.lower("name"), at="at", order="sid", attributes={"lic": F.coalesce("lic", F.lit("NONE")), "arch": F.coalesce("arch", F.lit(False))})
+def take(df, only=None):
+    return history.captures(df, key=F.lower("name"), at="at", order="sid", attributes={"lic": F.coalesce("lic", F.lit("NONE")), "arch": F.coalesce("arch", F.lit(False))}, only=only)
+
+
+def caps(spark, rows, only=None):
+    return take(spark.createDataFrame(rows, SCHEMA), only)
 
 
 def brute(rows):
@@ -67,7 +70,6 @@ def test_late_captures_rebuild_their_key(spark):
     """Batches in the order of arrival, of which most hold captures older than, or at the instant of, what was seen before."""
     rows = make(seed=3, n=240)
     df = spark.createDataFrame(rows, SCHEMA)
-    take = lambda x: history.captures(x, key=F.lower("name"), at="at", order="sid", attributes={"lic": F.coalesce("lic", F.lit("NONE")), "arch": F.coalesce("arch", F.lit(False))})
     got = history.history_by_batches(df, batch=F.when(F.col("sid") >= 40, F.floor(F.col("sid") / 60)), take=take)
     assert show(got) == brute(rows) and full(got) == full(history.build_history(take(df)))
 
@@ -83,7 +85,7 @@ def test_late_returning_and_equal_instants(spark):
         ([cap(4, 12, "B"), cap(5, 14, "A")], [(1, 12, "A"), (12, 14, "B"), (14, None, "A")]),  # returns within the batch
         ([], [(1, None, "A")]),
     ):
-        merged = history.merge_history(history.build_history(caps(spark, first)), caps(spark, batch), log=caps(spark, first + batch))
+        merged = history.merge_history(history.build_history(caps(spark, first)), caps(spark, batch), log=lambda keys, all_=first + batch: caps(spark, all_, keys))
         got = [(r.valid_from.day, r.valid_to and r.valid_to.day, r.lic) for r in merged.where("key = 'a/b'").orderBy("valid_from").collect()]
         assert got == want and merged.where("key = 'c/d' and is_current").count() == 1
         assert full(merged) == full(history.build_history(caps(spark, first + batch)))

@@ -19,14 +19,17 @@ def _hash(attrs: list[str]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def captures(df: DataFrame, *, key: Column, at: str, order: str, attributes: Mapping[str, Column]) -> DataFrame:
+def captures(df: DataFrame, *, key: Column, at: str, order: str, attributes: Mapping[str, Column], only: DataFrame | None = None) -> DataFrame:
     """(key, at, attributes..., digest): one row per key and instant, of several the one with the largest `order`.
 
-    Captures without key or instant are left out: they belong to no history.
+    Captures without key or instant are left out: they belong to no history. only: (key) the keys to take, all if not given;
+    others are left out before the shuffle where the keys are few enough for Spark to broadcast.
     """
     attrs = list(attributes)
     rows = df.select(key.alias("key"), F.col(at).alias("at"), F.col(order).alias("ord"), F.struct(*[c.alias(a) for a, c in attributes.items()]).alias("a"))
-    rows = rows.where("key is not null and at is not null").groupBy("key", "at").agg(F.max(F.struct("ord", "a")).alias("x"))
+    rows = rows.where("key is not null and at is not null")
+    rows = rows if only is None else rows.join(only, "key", "left_semi")
+    rows = rows.groupBy("key", "at").agg(F.max(F.struct("ord", "a")).alias("x"))
     return rows.select("key", "at", "x.a.*").withColumn("digest", _hash(attrs))
 
 
@@ -53,7 +56,7 @@ def build_history(rows: DataFrame, *, slice_unit: str = "month") -> DataFrame:
     return v.select("key", F.col("at").alias("valid_from"), "valid_to", open_.alias("is_current"), F.when(open_, F.col("seen")).alias("seen_at"), *rest, "digest")
 
 
-def merge_history(history: DataFrame, batch: DataFrame, *, log: DataFrame | None = None) -> DataFrame:
+def merge_history(history: DataFrame, batch: DataFrame, *, log: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Merge a batch of captures into a history: close changed versions, insert new open ones, keep the rest.
 
     The batch's captures are compared by digest with the open version of their key: where none differs, only its seen_at moves;
@@ -61,8 +64,8 @@ def merge_history(history: DataFrame, batch: DataFrame, *, log: DataFrame | None
     that history doesn't have come in new. Closed versions stay as they are.
 
     Late captures: a key with a capture in the batch that isn't newer than all seen before (an earlier instant, or the same one
-    delivered again) can't be merged into versions alone. Such keys are taken out and built anew from `log`: all captures so
-    far, those of the batch included. Without a log the query fails on them.
+    delivered again) can't be merged into versions alone. Such keys are taken out and built anew from `log`, which
+    gives all captures so far of the keys it gets, those of the batch included. Without a log the query fails on them.
     """
     rest = [c for c in history.columns if c not in ("key", "valid_from", "valid_to", "is_current", "seen_at", "digest")]
     current, closed = history.where("is_current"), history.where("not is_current")
@@ -74,20 +77,23 @@ def merge_history(history: DataFrame, batch: DataFrame, *, log: DataFrame | None
     seen = current.where("seen_at > valid_from").select("key", F.col("seen_at").alias("at"), *rest, "digest")  # the same version, as it was last seen
     rows = now.unionByName(seen).unionByName(batch.select(*now.columns)).join(late, "key", "left_anti")
     if log is not None:
-        rows = rows.unionByName(log.select(*now.columns).join(late, "key", "left_semi"))
+        rows = rows.unionByName(log(late).select(*now.columns))
     return closed.join(late, "key", "left_anti").select(*history.columns).unionByName(build_history(rows).select(*history.columns))
 
 
-def history_by_batches(rows: DataFrame, *, batch: Column, take: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def history_by_batches(rows: DataFrame, *, batch: Column, take: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
     """The history of rows that arrive in batches: each batch is merged into the table that the merges before it wrote.
 
     batch: the batch of a row, in the order of arrival, null the first; there should be few (months, say), as each is a merge
-    of its own and its number is known to the driver. take: turns rows into captures.
+    of its own and its number is known to the driver. take: turns rows into captures, of the given keys only if any
+    are given.
     """
     rows = rows.withColumn("_batch", batch)
     numbers = [r[0] for r in rows.select("_batch").distinct().orderBy(F.col("_batch").asc_nulls_first()).collect()]
-    history = build_history(take(rows.limit(0)))
+    history = build_history(take(rows.limit(0), None))
     for n in numbers:
         so_far = F.col("_batch").isNull() if n is None else F.col("_batch").isNull() | (F.col("_batch") <= F.lit(n))
-        history = materialize(merge_history(history, take(rows.where(F.col("_batch").eqNullSafe(F.lit(n)))), log=take(rows.where(so_far))), "history")
+        batch_rows = take(rows.where(F.col("_batch").eqNullSafe(F.lit(n))), None)
+        merged = merge_history(history, batch_rows, log=lambda keys, seen=rows.where(so_far): take(seen, keys))
+        history = materialize(merged, "history")
     return history

@@ -80,14 +80,14 @@ versions as (select *, lead(captured_at) over (partition by full_name order by c
 _TIME = "yyyy-MM-dd HH:mm:ss"
 
 
-def snapshot_captures(df: DataFrame) -> DataFrame:
+def snapshot_captures(df: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Captures of license, archived flag and description; repositories are equal regardless of case, nulls are the schema's defaults."""
     attributes = {
         "license_spdx": F.coalesce("license_spdx", F.lit("NOASSERTION")),
         "archived": F.coalesce("archived", F.lit(False)),
         "description": F.coalesce("description", F.lit("")),
     }
-    return history.captures(df, key=F.lower("full_name"), at="captured_at", order="snapshot_id", attributes=attributes)
+    return history.captures(df, key=F.lower("full_name"), at="captured_at", order="snapshot_id", attributes=attributes, only=only)
 
 
 def merged_snapshots(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,4 +123,4 @@ def p4_merge(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "repository_snapshots")
     early = F.coalesce(F.col("landed_at") < F.lit("2026-03-01").cast("timestamp_ntz"), F.lit(True))
     first = history.build_history(snapshot_captures(rows.where(early)))
-    return _show(history.merge_history(first, snapshot_captures(rows.where(~early)), log=snapshot_captures(rows)))
+    return _show(history.merge_history(first, snapshot_captures(rows.where(~early)), log=lambda keys: snapshot_captures(rows, keys)))
