@@ -62,3 +62,15 @@ def test_empty_and_single(spark):
     assert rolling_gains(spark.createDataFrame([], SCHEMA)).count() == 0
     one = rolling_gains(spark.createDataFrame([(1, "a", datetime(2026, 1, 1, 5), None, 3, 4, "", "", 0)], SCHEMA))
     assert one.count() == 3 and one.agg(F.sum("total_30")).first()[0] == 0
+
+
+def test_one_scan_and_two_shuffles(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, "a" if i % 3 else "b", datetime(2026, 1, 1 + i % 28), i, i, i, "", "", 0) for i in range(200)]
+        df = rolling_gains(spark.createDataFrame(rows, SCHEMA))
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and plan.count("- Exchange hashpartitioning") == 2 and "ReusedExchange" in plan

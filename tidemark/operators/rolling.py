@@ -37,39 +37,40 @@ def rolling_gains(
     row, days without readings included. A day's gain is its last non-null reading minus the reading of the latest earlier
     day that has one; other days gain 0. Averages divide by the days that exist since the first one.
 
-    Every day's gain is exploded onto the output days it influences, summed by entity and day, and joined to calendar rows
-    for the zeros. After `daily_readings` an entity has one row a day, so no group grows with the number of readings.
-    Empty input gives an empty result; repeated rows count once; other columns of the input are ignored.
+    Every day's gain is exploded onto the later days it influences, summed by entity and day, and joined to calendar rows, which
+    hold each day's own gain, 0 on days without a reading. After `daily_readings` an entity has one row a day, so no group grows
+    with the number of readings. Both sides come from one scan and one shuffle by entity. Empty input gives an empty result;
+    repeated rows count once; other columns of the input are ignored.
     """
     n, longest = range(len(metrics)), max(periods)
     days = daily_readings(obs, entity=entity, at=at, order=order, metrics=metrics)
-    before = Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    last = Window.partitionBy("entity")
+    by_day = Window.partitionBy("entity").orderBy("day")
+    before = by_day.rowsBetween(Window.unboundedPreceding, -1)
     gains = days.select(
         "entity",
         "day",
-        F.min("day").over(last).alias("first_day"),
-        F.max("day").over(last).alias("last_day"),
+        F.min("day").over(Window.partitionBy("entity")).alias("first_day"),
+        F.max("day").over(Window.partitionBy("entity")).alias("last_day"),
+        F.lead("day").over(by_day).alias("next_day"),
         *[F.coalesce(F.col(f"m{i}").cast("long") - F.last(f"m{i}", ignorenulls=True).over(before).cast("long"), F.lit(0)).alias(f"g{i}") for i in n],
     )
     some = " or ".join(f"g{i} <> 0" for i in n)
-    out_days = F.sequence(F.lit(0), F.least(F.lit(longest - 1), F.datediff("last_day", "day")))
-    spreaded = gains.where(some).select("entity", "day", *[f"g{i}" for i in n], F.explode(out_days).alias("lag"))
+    lags = F.sequence(F.lit(1), F.least(F.lit(longest - 1), F.datediff("last_day", "day")))
+    spreaded = gains.where(f"({some}) and last_day > day").select("entity", "day", *[f"g{i}" for i in n], F.explode(lags).alias("lag"))
     totals = spreaded.groupBy("entity", F.date_add("day", F.col("lag")).alias("day")).agg(
         *[F.sum(F.when(F.col("lag") < p, F.col(f"g{i}")).otherwise(0)).alias(f"t{i}_{p}") for i in n for p in periods]
     )
-    calendar = (
-        gains.groupBy("entity")
-        .agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
-        .select("entity", "first_day", F.explode(F.sequence("first_day", "last_day", F.expr("interval 1 day"))).alias("day"))
-    )
+    until = F.coalesce(F.date_sub("next_day", 1), F.col("day"))
+    calendar = gains.select("entity", "first_day", F.col("day").alias("read"), *[f"g{i}" for i in n], F.explode(F.sequence("day", until, F.expr("interval 1 day"))).alias("day"))
+    calendar = calendar.select("entity", "first_day", "day", *[F.when(F.col("day") == F.col("read"), F.col(f"g{i}")).otherwise(0).alias(f"g{i}") for i in n])
     full = calendar.join(totals, ["entity", "day"], "left")
+    total = lambda i, p: F.col(f"g{i}") + F.coalesce(f"t{i}_{p}", F.lit(0))
     exist = F.datediff("day", "first_day") + 1
     per_metric = [
         F.struct(
             F.lit(m).alias("metric"),
-            *[F.coalesce(f"t{i}_{p}", F.lit(0)).alias(f"total_{p}") for p in periods],
-            *[(F.coalesce(f"t{i}_{p}", F.lit(0)) / F.least(F.lit(p), exist)).alias(f"average_{p}") for p in periods],
+            *[total(i, p).alias(f"total_{p}") for p in periods],
+            *[(total(i, p) / F.least(F.lit(p), exist)).alias(f"average_{p}") for p in periods],
         )
         for i, m in enumerate(metrics)
     ]

@@ -10,12 +10,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Settings that results or plans rely on: times are UTC, plans adapt at run time, and a join whose sides are both split by some
+#: of its keys uses that split instead of shuffling both again.
+SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the library expects: UTC and adaptive execution."""
-    b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    """A session with the settings the library expects."""
+    b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    for k, v in conf.items():
+    for k, v in (SETTINGS | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
 
@@ -47,7 +52,9 @@ def spread(df: DataFrame, *, factor: int = 1) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of the session, once, so that they find it whatever folder they start in."""
+    """Give a session the library's settings and send this package to its Python workers, once, so that they find it whatever folder they start in."""
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     context = spark.sparkContext
     if getattr(context, "_tidemark_shipped", False):
         return
