@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from tidemark.functions import text
 from tidemark.operators import codebase, ingest, leaderboard
 from tidemark.plans.registry import Registry
 from tidemark.schemas import SNAPSHOT
-from tidemark.session import shared_folder
+from tidemark.session import fresh
 from tidemark.sources import jsonl
 from tidemark.sources.tables import table
 from tidemark.streaming import ingest as streaming
@@ -24,10 +22,6 @@ def _time(c: str):  # noqa: ANN202
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
 
 
-def _fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 _JSONL = """select full_name, strftime(captured_at, '%Y-%m-%d %H:%M:%S.%f') as captured_at, coalesce(description, '') as description, coalesce(language, 'Unknown') as language,
   coalesce(license_spdx, 'NOASSERTION') as license_spdx, array_to_string(topics, ' ') as topics, stars, coalesce(archived, false) as archived, coalesce(fork, false) as fork, pypi_downloads_30d,
   len(code_chunks) as chunks, round(quality_score, 6) as quality_score from repository_snapshots"""
@@ -36,7 +30,7 @@ _JSONL = """select full_name, strftime(captured_at, '%Y-%m-%d %H:%M:%S.%f') as c
 @R.query("snapshot_scan", _JSONL)
 def snapshot_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The snapshots, written as JSON lines sorted by name and read again with their schema and defaults."""
-    at = _fresh(spark, "snapshots")
+    at = fresh(spark, "snapshots")
     jsonl.write_lines(table(spark, folder, "repository_snapshots").select(*SNAPSHOT.names), at)
     rows = jsonl.read_snapshots(spark, [at])
     return rows.select(
@@ -163,7 +157,7 @@ def insert_evidence(spark: SparkSession, folder: str) -> DataFrame:
 @R.query("snapshot_replace", "select distinct full_name, strftime(data_watermark, '%Y-%m-%d') as run, case when data_watermark = (select max(data_watermark) from leaderboard_items) then 'again' else 'first' end as written from leaderboard_items")
 def snapshot_replace(spark: SparkSession, folder: str) -> DataFrame:
     """Both leaderboard runs written by run, the latest written again: it replaces its rows, the other run stays."""
-    at = _fresh(spark, "runs")
+    at = fresh(spark, "runs")
     rows = table(spark, folder, "leaderboard_items").select("full_name", F.date_format("data_watermark", "yyyy-MM-dd").alias("run")).distinct()
     ingest.replace_partitions(rows.withColumn("written", F.lit("first")), at, "run")
     last = rows.agg(F.max("run").alias("last"))
@@ -235,7 +229,7 @@ def _events(spark: SparkSession, folder: str) -> str:
     """The observations as landed event files."""
     names = leaderboard.unique_repositories(table(spark, folder, "repositories")).select(F.col("id").alias("repository_id"), "full_name")
     rows = table(spark, folder, "repository_observations").join(names, "repository_id")
-    at = _fresh(spark, "events")
+    at = fresh(spark, "events")
     event = rows.select(F.lit("1").alias("schema_version"), F.col("id").cast("string").alias("event_id"), "source", F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("captured_at"), "full_name", F.concat(F.lit("https://code.example/"), "full_name").alias("html_url"))
     event.write.json(at)
     return at
@@ -244,14 +238,14 @@ def _events(spark: SparkSession, folder: str) -> str:
 @R.query("stream_ingest", "select full_name, source, count(distinct observed_at) as events from repository_observations o join (select distinct id as rid, full_name from repositories) r on r.rid = o.repository_id group by all")
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Events ingested by a stream, each key once."""
-    at = _fresh(spark, "ingested")
-    streaming.ingest(streaming.read_events(spark, _events(spark, folder)), at, _fresh(spark, "ingest-state"))
+    at = fresh(spark, "ingested")
+    streaming.ingest(streaming.read_events(spark, _events(spark, folder)), at, fresh(spark, "ingest-state"))
     return spark.read.parquet(at).groupBy("full_name", "source").agg(F.count("*").alias("events"))
 
 
 @R.query("stream_daily_latest")
 def stream_daily_latest(spark: SparkSession, folder: str) -> DataFrame:
     """The last event of each repository, source and day, kept up by a stream."""
-    at = _fresh(spark, "daily")
-    streaming.daily_latest(streaming.read_events(spark, _events(spark, folder)), at, _fresh(spark, "daily-state"))
+    at = fresh(spark, "daily")
+    streaming.daily_latest(streaming.read_events(spark, _events(spark, folder)), at, fresh(spark, "daily-state"))
     return streaming.latest_days(spark, at)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -26,18 +27,41 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset and all runs on one machine.
+
+    On a cluster a folder must be named: in a machine's own each executor would write to its own disk.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; `clear` removes what was written to it."""
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    context._tidemark_paths = [*getattr(context, "_tidemark_paths", []), at]
+    return at
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of the session; frames that still read them can't be used any more."""
+    context = spark.sparkContext
+    for at in getattr(context, "_tidemark_paths", []):
+        path = context._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    context._tidemark_paths = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table of the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df as a table of the shared folder and read it back: cuts the lineage and survives lost executors. `clear` removes it."""
     spark = df.sparkSession
-    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = fresh(spark, name)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
