@@ -3,7 +3,11 @@
 Equal records collapse to a class with one representative first; only representatives are compared. A signature of K
 coordinates comes from two permutations of one universe: the first scatters the shingles, the second, shifted circularly by
 k places, gives coordinate k. Bands of R coordinates are shuffled as 64-bit keys; records that share one are candidates, and
-each candidate pair is verified on its whole shingle sets.
+each candidate pair is verified on its whole shingle sets. A set that fills much of the universe has the least values of any
+other such set, so large records have a larger universe; those near the border have keys of both.
+
+Most bands are of one record and drop out with their count. A band of very many different records is cut into cells, each of two
+blocks of its records, so that its pairs are spread over tasks and none is lost.
 
 With R = 3 and 48 bands a pair of likeness 0.6 is missed with probability (1 - 0.6**3)**48 = 8e-6, one of 0.8 with 3e-15.
 """
@@ -19,9 +23,13 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-#: Places of the permuted universe, a power of two.
-UNIVERSE = 1 << 20
+#: Places of the permuted universe, a power of two, kept as a table of 4 MB; and of that of large records, which is computed.
+UNIVERSE, LARGE_UNIVERSE = 1 << 20, 1 << 40
+#: Distinct shingles up to which a record is small.
+SMALL = 1 << 16
 BANDS, ROWS = 48, 3
+#: Records of a band that meet in one cell, from each of its two blocks.
+BLOCK = 1_000
 
 _SECOND: dict = {}
 
@@ -34,17 +42,38 @@ def _second_permutation(seed: int, k: int) -> np.ndarray:
     return _SECOND[seed, k]
 
 
-def _first_permutation(hashes: np.ndarray, seed: int) -> np.ndarray:
-    """Places of 64-bit hashes in the universe: a fixed bijective mix, of which the upper bits are taken."""
-    x = hashes.astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A fixed bijective mix of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(64 - UNIVERSE.bit_length() + 1)).astype(np.int64)
+    return x ^ (x >> np.uint64(31))
+
+
+def _first_permutation(hashes: np.ndarray, seed: int, universe: int) -> np.ndarray:
+    """Places of 64-bit hashes in the universe: the upper bits of a bijective mix."""
+    x = hashes.astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+    return (_mixed(x) >> np.uint64(64 - universe.bit_length() + 1)).astype(np.int64)
+
+
+def _large_coordinates(places: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """The least values of the second permutation of the large universe over all places, shifted by 0..k-1.
+
+    The permutation multiplies by odd numbers and folds upper bits onto lower ones, modulo the universe, so it is a bijection.
+    """
+    mask, half = np.uint64(LARGE_UNIVERSE - 1), np.uint64(LARGE_UNIVERSE.bit_length() // 2)
+    out = np.empty(k, dtype=np.int64)
+    for shift in range(k):
+        x = (places.astype(np.uint64) + np.uint64(shift)) & mask
+        for odd in (seed * 2 + 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
+            x = (x * np.uint64(odd % 2**64 | 1)) & mask
+            x ^= x >> half
+        out[shift] = x.min()
+    return out
 
 
 def signatures(flat: np.ndarray, starts: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
-    """The k signature coordinates of each non-empty set of hashes flat[starts[i]:starts[i + 1]]."""
-    view, places = _second_permutation(seed, k), _first_permutation(flat, seed)
+    """The k signature coordinates of each non-empty set of hashes flat[starts[i]:starts[i + 1]], in the small universe."""
+    view, places = _second_permutation(seed, k), _first_permutation(flat, seed, UNIVERSE)
     out = np.empty((len(starts), k), dtype=np.int32)
     ends = np.append(starts[1:], len(flat))
     a = 0
@@ -58,7 +87,23 @@ def signatures(flat: np.ndarray, starts: np.ndarray, k: int, seed: int = 7) -> n
     return out
 
 
-def _band_keys(bands: int, rows: int, seed: int):  # noqa: ANN202
+def large_signatures(flat: np.ndarray, starts: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
+    """The same in the large universe."""
+    ends = np.append(starts[1:], len(flat))
+    return np.array([_large_coordinates(_first_permutation(flat[a:z], seed, LARGE_UNIVERSE), k, seed) for a, z in zip(starts, ends, strict=True)], dtype=np.int64).reshape(len(starts), k)
+
+
+def _keys(sig: np.ndarray, bands: int, rows: int, kind: int) -> np.ndarray:
+    """(records, bands): a 64-bit key of each band of the signatures."""
+    sig = sig.reshape(-1, bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1 + kind * bands, 1 + (kind + 1) * bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), sig.shape[:2]).copy()
+    for r in range(rows):
+        key = (key ^ sig[:, :, r]) * np.uint64(0xFF51AFD7ED558CCD)
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def _band_keys(bands: int, rows: int, seed: int, threshold: float, small: int):  # noqa: ANN202
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -66,12 +111,22 @@ def _band_keys(bands: int, rows: int, seed: int):  # noqa: ANN202
             sh = b.column(2)
             offsets = np.asarray(sh.offsets, dtype=np.int64)
             flat = np.asarray(sh.values, dtype=np.int64)[offsets[0] : offsets[-1]].view(np.uint64)
-            sig = signatures(flat, offsets[:-1] - offsets[0], bands * rows, seed).reshape(-1, bands, rows).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), sig.shape[:2]).copy()
-            for r in range(rows):
-                key = (key ^ sig[:, :, r]) * np.uint64(0xFF51AFD7ED558CCD)
-                key ^= key >> np.uint64(32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands, dtype=np.int32)), pa.array(key.reshape(-1).view(np.int64)))
+            starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+            # a pair of enough likeness has sizes in that proportion, so both are small or both have keys of the large universe
+            kinds = [(0, sizes <= small, signatures), (1, sizes >= small * threshold, large_signatures)]
+            parts, owners = [], []
+            for kind, which, sign in kinds:
+                if which.all():
+                    parts.append(_keys(sign(flat, starts, bands * rows, seed), bands, rows, kind).reshape(-1))
+                elif which.any():
+                    own = np.flatnonzero(which)
+                    sets = [flat[starts[i] : starts[i] + sizes[i]] for i in own]
+                    parts.append(_keys(sign(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])]), bands * rows, seed), bands, rows, kind).reshape(-1))
+                owners.append(np.repeat(np.flatnonzero(which), bands))
+            owner, key = np.concatenate(owners), np.concatenate(parts)
+            order = np.argsort(owner, kind="stable")
+            bounds = np.searchsorted(owner[order], np.arange(b.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(key[order].view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["id", "digest", "bands"])
 
     return keys
@@ -91,22 +146,21 @@ def shingled(df: DataFrame, *, width: int) -> DataFrame:
     )
 
 
-def near_duplicates(df: DataFrame, *, id: str, text: Column, threshold: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS, seed: int = 7) -> tuple[DataFrame, DataFrame]:  # noqa: A002
+def near_duplicates(df: DataFrame, *, id: str, text: Column, threshold: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS, seed: int = 7, small: int = SMALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:  # noqa: A002
     """Classes of equal records, and all pairs of classes with a likeness of at least `threshold`.
 
     Returns members (id, rep): every record with `width` words or more and its class, named by its least id; and links
     (rep_a, rep_b, likeness) with rep_a < rep_b. Likeness is the number of shared distinct runs of `width` words divided by
-    the number that either has. Ids must be unique; null ids or texts and shorter texts are in neither result.
+    the number that either has. Ids must be unique; null ids or texts and shorter texts are in neither result. `small` and `block` change
+    the cost of large records and of bands of many records, not the result.
     """
     df = df.select(F.col(id).cast("long").alias("id"), text.alias("text")).where("id is not null and text is not null")
     sets = shingled(df, width=width)
-    keyed = materialize(sets.mapInArrow(_band_keys(bands, rows, seed), "id bigint, digest string, bands array<bigint>"), "bands")
+    keyed = materialize(sets.mapInArrow(_band_keys(bands, rows, seed, threshold, small), "id bigint, digest string, bands array<bigint>"), "bands")
     classes = keyed.groupBy("digest").agg(F.min("id").alias("rep"))
     members = keyed.select("id", "digest").join(classes, "digest").select("id", "rep")
     reps = keyed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("bands").alias("band"))
-    other = reps.select(F.col("id").alias("rep_b"), "band")
-    candidates = reps.select(F.col("id").alias("rep_a"), "band").join(other, "band").where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
-    candidates = materialize(candidates, "candidates")
+    candidates = materialize(_meetings(reps, block).distinct(), "candidates")
     needed = candidates.select(F.col("rep_a").alias("id")).union(candidates.select("rep_b")).distinct()
     full = shingled(df.join(needed, "id", "left_semi"), width=width).select("id", "shingles")
     a, b = (full.select(F.col("id").alias(f"rep_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
@@ -115,6 +169,27 @@ def near_duplicates(df: DataFrame, *, id: str, text: Column, threshold: float =
     return members, links.where(F.col("likeness") >= threshold)
 
 
+def _meetings(reps: DataFrame, block: int) -> DataFrame:
+    """(rep_a, rep_b), rep_a < rep_b: the pairs of records (id) that share a band, repeated for each that they share.
+
+    Counts are combined before they are shuffled. Bands of up to `block` records are joined as they are. Those of more are cut
+    into blocks by a hash of the record; a record goes to one cell for each block, with its own one, and each pair meets in one.
+    """
+    counts = reps.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(reps.join(counts, "band"), "bands")
+    cool, hot = shared.where(F.col("n") <= block), shared.where(F.col("n") > block)
+    blocks = F.ceil(F.col("n") / block)
+    cells = hot.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    cells = cells.select("id", "band", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).repartition("band", "low", "high")
+
+    def pairs(df: DataFrame, keys: list[str], apart: Column) -> DataFrame:
+        sides = [df.select(*keys, *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in keys]) for x in "ab"]
+        return sides[0].join(sides[1], keys).where(F.col("id_a") < F.col("id_b")).where(apart).select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b"))
+
+    inside = pairs(cool.select("id", "band"), ["band"], F.lit(True))
+    return inside.unionByName(pairs(cells, ["band", "low", "high"], (F.col("low") == F.col("high")) | (F.col("own_a") != F.col("own_b"))))
+
+
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: the pairs of records that the links of their classes stand for, those within a class included."""
     m = lambda x: members.select(F.col("id").alias(f"id_{x}"), F.col("rep").alias(f"rep_{x}"))

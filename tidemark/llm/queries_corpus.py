@@ -18,28 +18,39 @@ def snapshot_duplicates(spark: SparkSession, folder: str) -> tuple[DataFrame, Da
     return neardup.near_duplicates(rows, id="snapshot_id", text=F.array_join("code_chunks", " "), threshold=0.6, width=3)
 
 
-_P3_SQL = """
+_P3_WORDS = """
 with w as (
   select snapshot_id as id, regexp_extract_all(lower(array_to_string(code_chunks, ' ')), '[a-z0-9_]+') as words
   from repository_snapshots where len(code_chunks) > 0),
+"""
+_P3_LIKE = """
 s as (
   select distinct id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as g
   from (select id, words, unnest(range(1, len(words) - 1)) as i from w where len(words) >= 3)),
 n as (select id, count(*) as n from s group by id),
 c as (select a.id as a, b.id as b, count(*) as shared from s a join s b on a.g = b.g and a.id < b.id group by all)
-select a as snapshot_id_a, b as snapshot_id_b from c join n x on x.id = a join n y on y.id = b
-where shared::double / (x.n + y.n - shared) >= 0.6
+p as (select a, b from c join n x on x.id = a join n y on y.id = b where shared::double / (x.n + y.n - shared) >= 0.6)
 """
 
 
-@R.query("p3_found", _P3_SQL)
+@R.query("p3_found", _P3_WORDS + _P3_LIKE + "select a as snapshot_id_a, b as snapshot_id_b from p")
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each pair of indexed snapshots whose code chunks are mostly the same."""
     pairs = neardup.record_pairs(*snapshot_duplicates(spark, folder))
     return pairs.select(F.col("id_a").alias("snapshot_id_a"), F.col("id_b").alias("snapshot_id_b"))
 
 
-@R.query("p3_classes")
+_P3_CLASSES = """
+k as (select id, min(id) over (partition by words) as class_id, words from w where len(words) >= 3),
+"""
+
+
+@R.query(
+    "p3_classes",
+    _P3_WORDS + _P3_CLASSES + _P3_LIKE.replace("from w where", "from k where id = class_id and")
+    + """, e as (select id, count(*) as links from (select a as id from p union all select b from p) group by id)
+    select k.id as snapshot_id, class_id, coalesce(links, 0) as links from k left join e on e.id = class_id""",
+)
 def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Each indexed snapshot with its class of equal texts and the number of other classes that are mostly the same."""
     return neardup.record_classes(*snapshot_duplicates(spark, folder)).withColumnRenamed("id", "snapshot_id")
