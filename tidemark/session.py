@@ -31,13 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
 
     On a cluster a folder must be named: in a machine's own each executor would write to its own disk.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tidemark_folder", None)
     if not at:
-        master = spark.sparkContext.master
+        master = context.master
         if not re.fullmatch(r"local(\[.*\])?", master):
             raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = context._tidemark_folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     return at.rstrip("/")
 
 
