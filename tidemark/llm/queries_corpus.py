@@ -28,7 +28,7 @@ s as (
   select distinct id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as g
   from (select id, words, unnest(range(1, len(words) - 1)) as i from w where len(words) >= 3)),
 n as (select id, count(*) as n from s group by id),
-c as (select a.id as a, b.id as b, count(*) as shared from s a join s b on a.g = b.g and a.id < b.id group by all)
+c as (select a.id as a, b.id as b, count(*) as shared from s a join s b on a.g = b.g and a.id < b.id group by all),
 p as (select a, b from c join n x on x.id = a join n y on y.id = b where shared::double / (x.n + y.n - shared) >= 0.6)
 """
 
