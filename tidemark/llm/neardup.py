@@ -162,7 +162,7 @@ def near_duplicates(df: DataFrame, *, id: str, text: Column, threshold: float =
     reps = keyed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("bands").alias("band"))
     candidates = materialize(_meetings(reps, block).distinct(), "candidates")
     needed = candidates.select(F.col("rep_a").alias("id")).union(candidates.select("rep_b")).distinct()
-    full = shingled(df.join(needed, "id", "left_semi"), width=width).select("id", "shingles")
+    full = materialize(shingled(df.join(needed, "id", "left_semi"), width=width).select("id", "shingles"), "shingles")
     a, b = (full.select(F.col("id").alias(f"rep_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = candidates.join(a, "rep_a").join(b, "rep_b").withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
     links = both.select("rep_a", "rep_b", (F.col("shared") / (F.size("set_a") + F.size("set_b") - F.col("shared"))).alias("likeness"))
