@@ -21,10 +21,26 @@ def test_same_as_whole_texts_in_any_blocks(spark):
     rng = random.Random(2)
     texts = TEXTS + ["".join(rng.choice(["the ", "cache", "\n", " 12", "…", "é", "中", ".", "  "]) for _ in range(rng.randrange(80))) for _ in range(60)]
     rows = [(i, x, "w", "i", "b") for i, x in enumerate(texts)]
-    e = t.encoder(t.vocabulary_path(), t.BYTE_BPE_PATTERN)
+    e = t.encoder(t.read_vocabulary(t.vocabulary_path()), t.BYTE_BPE_PATTERN)
     want = {i: e.encode_ordinary(x) if x else [] for i, x in enumerate(texts)}
     assert dict(ids(spark, rows)) == want
     assert dict(ids(spark, rows, block_tokens=7)) == want
+    assert dict(ids(spark, rows, block_tokens=50, frequent=3)) == want
+
+
+def test_frequent_words_are_not_shuffled_to_their_ids(spark):
+    rows = [(i, "the cache of the", "", "", "") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, word string, ids string, block string")
+    coded = t.encode_corpus(df, vocabulary=t.vocabulary_path(), pattern=t.BYTE_BPE_PATTERN, block_tokens=8)
+    assert coded.count() == 40 and "BroadcastHashJoin [word" in coded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_text_is_assembled_once_and_an_unknown_id_fails(spark):
+    rows = spark.createDataFrame([(1, [1, 2]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    plan = t.decode_corpus(rows.repartition(2), vocabulary=t.vocabulary_path())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1
+    with pytest.raises(Exception, match="lacks"):
+        t.decode_corpus(spark.createDataFrame([(1, [10**8])], rows.schema), vocabulary=t.vocabulary_path()).collect()
 
 
 def test_rows_stay_apart_and_empty_tables_work(spark):

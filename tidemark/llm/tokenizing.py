@@ -3,12 +3,14 @@
 The corpus is cut into blocks of whole documents. A block's pre-tokens become one row per distinct word with the positions
 where it stands, so a word that makes up a twentieth of the corpus is one row a block, not one a use. All distinct words are
 encoded once, their ids joined back, and each block reassembled by position. A block is bounded by its number of pre-tokens
-(a longer document is a block of its own), so no group grows with the corpus.
+(a longer document is a block of its own), so no group grows with the corpus. The words of the most blocks, a fixed number, whose
+places are the bulk of the bytes, get their ids by broadcast; only the other words are shuffled to meet theirs.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,6 +19,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,23 +27,34 @@ from tidemark.session import materialize, spread
 
 #: Pre-tokens of a block, beyond which a new one begins.
 BLOCK_TOKENS = 500_000
+#: Words of the most blocks whose ids are broadcast, and bytes of such a word with its ids at most: 1.3 MB together at the very most.
+FREQUENT_WORDS, FREQUENT_BYTES = 4_096, 320
+#: Bytes of a vocabulary file, at most: it is broadcast, as executors may not have it.
+VOCABULARY_BYTES = 64 << 20
 
 _ENCODERS: dict = {}
 
 
-def load_ranks(vocabulary: str) -> dict[bytes, int]:
+def load_ranks(vocabulary: bytes) -> dict[bytes, int]:
     """The ranks of a vocabulary file of lines `base64 id`."""
-    with open(vocabulary, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
 
 
-def encoder(vocabulary: str, pattern: str):  # noqa: ANN201
-    """The encoder of a vocabulary file, loaded once in each worker process."""
-    if (vocabulary, pattern) not in _ENCODERS:
+def read_vocabulary(path: str) -> bytes:
+    """The file's bytes, read on the driver; a file of more than VOCABULARY_BYTES fails."""
+    if Path(path).stat().st_size > VOCABULARY_BYTES:
+        raise ValueError(f"{path} is too large for a vocabulary")
+    return Path(path).read_bytes()
+
+
+def encoder(vocabulary: bytes, pattern: str):  # noqa: ANN201
+    """The encoder of a vocabulary, made once in each worker process."""
+    key = hashlib.sha256(vocabulary).digest(), pattern
+    if key not in _ENCODERS:
         import tiktoken
 
-        _ENCODERS[vocabulary, pattern] = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=load_ranks(vocabulary), special_tokens={})
-    return _ENCODERS[vocabulary, pattern]
+        _ENCODERS[key] = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=load_ranks(vocabulary), special_tokens={})
+    return _ENCODERS[key]
 
 
 _BLOCK = "block bigint, word string, places binary, docs array<bigint>, sizes array<int>"
@@ -113,13 +127,13 @@ def _blocks(pattern: str, limit: int):  # noqa: ANN202
     return cut
 
 
-def _encode_words(vocabulary: str, pattern: str):  # noqa: ANN202
+def _encode_words(vocabulary: Broadcast, pattern: str):  # noqa: ANN202
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary, pattern)
+        e = encoder(vocabulary.value, pattern)
         for batch in batches:
             words = batch.column(0).to_pylist()
             ids = pa.array([np.array(e.encode_ordinary(w), dtype="<i4").tobytes() for w in words], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["word", "blocks", "ids"])
 
     return encode
 
@@ -147,17 +161,23 @@ def _assemble(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"doc": docs, "ids": lists})
 
 
-def encode_corpus(docs: DataFrame, *, vocabulary: str, pattern: str, doc: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def encode_corpus(docs: DataFrame, *, vocabulary: str, pattern: str, doc: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, frequent: int = FREQUENT_WORDS) -> DataFrame:
     """(doc, ids): the token ids of each row's text, one row for each row of docs.
 
     Empty and null texts have an empty list. White space counts as any other text. Rows with equal ids or texts stay apart;
-    an id may be null; other columns are ignored; an empty table gives an empty result.
+    an id may be null; other columns are ignored; an empty table gives an empty result. `frequent` changes the cost only.
     """
     rows = spread(docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")))
     blocks = materialize(rows.mapInArrow(_blocks(pattern, block_tokens), _BLOCK), "blocks")
     heads, body = blocks.where("word is null"), blocks.where("word is not null")
-    coded = body.select("word").distinct().mapInArrow(_encode_words(vocabulary, pattern), "word string, ids binary")
-    joined = body.join(coded, "word").unionByName(heads, allowMissingColumns=True).select("block", "places", "docs", "sizes", "ids")
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    words = body.groupBy("word").agg(F.count("*").alias("blocks"))
+    coded = materialize(words.mapInArrow(_encode_words(shared, pattern), "word string, blocks bigint, ids binary"), "coded")
+    most = coded.where(F.octet_length("word") + F.octet_length("ids") <= FREQUENT_BYTES).orderBy(F.col("blocks").desc(), "word").limit(frequent).select("word", "ids")
+    most = materialize(most, "frequent")
+    near = body.join(F.broadcast(most), "word")
+    far = body.join(F.broadcast(most.select("word")), "word", "left_anti").join(coded.select("word", "ids"), "word")
+    joined = near.unionByName(far).unionByName(heads, allowMissingColumns=True).select("block", "places", "docs", "sizes", "ids")
     return joined.groupBy("block").applyInArrow(_assemble, "doc bigint, ids array<int>").select(F.col("doc").alias(doc), "ids")
 
 
@@ -168,15 +188,15 @@ def decode_corpus(ids: DataFrame, *, vocabulary: str, doc: str = "doc_id") -> Da
     empty one an empty text, an id that the vocabulary lacks fails the query. `doc` must be unique.
     """
     spark = ids.sparkSession
-    ranks = load_ranks(vocabulary)
+    ranks = load_ranks(read_vocabulary(vocabulary))
     table = spark.createDataFrame(pd.DataFrame({"token": list(ranks.values()), "bytes": list(ranks.keys())}), "token int, bytes binary")
-    rows = ids.select(F.col(doc).alias("doc"), F.col("ids").alias("ids"))
-    tokens = rows.select("doc", F.posexplode("ids").alias("pos", "token")).join(F.broadcast(table), "token", "left")
-    tokens = tokens.withColumn("hex", F.when(F.col("bytes").isNull(), F.raise_error(F.lit("an id that the vocabulary lacks"))).otherwise(F.hex("bytes")))
-    texts = tokens.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "hex"))).alias("parts"))
+    rows = ids.select(F.col(doc).alias("doc"), F.col("ids").isNull().alias("none"), F.posexplode_outer("ids").alias("pos", "token"))
+    tokens = rows.join(F.broadcast(table), "token", "left")
+    unknown = F.col("token").isNotNull() & F.col("bytes").isNull()
+    part = F.when(unknown, F.raise_error(F.lit("an id that the vocabulary lacks"))).when(F.col("token").isNotNull(), F.struct("pos", F.hex("bytes").alias("hex")))
+    texts = tokens.groupBy("doc").agg(F.first("none").alias("none"), F.array_sort(F.collect_list(part)).alias("parts"))
     joined = F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), "")), "UTF-8")
-    out = rows.join(texts, "doc", "left")
-    return out.select(F.col("doc").alias(doc), F.when(F.col("ids").isNull(), None).otherwise(F.coalesce(joined, F.lit(""))).alias("text"))
+    return texts.select(F.col("doc").alias(doc), F.when(~F.col("none"), joined).alias("text"))
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str = "/opt/tokenizers") -> str:
