@@ -55,3 +55,23 @@ def test_removal(spark):
 
 def test_letters_that_lowering_lengthens_stay_one_word():
     assert k.words_of("\u0130stanbul, Ev") == ["i\u0307stanbul", "ev"]
+
+
+def test_the_map_of_bits_holds_all_hashes_and_few_others(spark):
+    rng = k.np.random.default_rng(3)
+    own, others = (rng.integers(-(2**63), 2**63 - 1, n) for n in (3_000, 100_000))
+    marks = k.hash_bits(spark.createDataFrame([(int(h),) for h in own], "hash long"), 1 << 16)
+    assert len(marks) == 1 << 10 and k._marked(marks, own.view(k.np.uint64)).all()
+    assert k._marked(marks, others.view(k.np.uint64)).mean() < 0.06
+
+
+def test_sizes_are_counted_in_bytes(spark, monkeypatch):
+    """Few passages of very long words are joined, not broadcast."""
+    monkeypatch.setattr(k, "MAX_BROADCAST", 20_000)
+    called = []
+    real = k.hash_bits
+    monkeypatch.setattr(k, "hash_bits", lambda *a: called.append(1) or real(*a))
+    text = " ".join("w" * 900 + str(i) for i in range(14))
+    d = spark.createDataFrame([(1, "x " + text, "", ""), (2, "x", "", "")], D)
+    q = spark.createDataFrame([(7, text, "")], I)
+    assert [tuple(r) for r in k.leaked_pairs(d, q, max_broadcast=k.MAX_BROADCAST).collect()] == [(1, 7)] and called

@@ -91,6 +91,8 @@ def test_latest_delivery_with_content_stands(spark):
 
 def test_empty(spark, world):
     files, repos = world
+    nothing = files.limit(1).withColumn("content", f.F.lit("x"))  # tells nothing to any view
+    assert f.not_by_hand(nothing, repos).count() == 0
     assert f.not_by_hand(files.limit(0), repos).count() == 0
     assert f.not_by_hand(files.limit(30), repos.limit(0)).count() >= 0
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,12 @@ from tidemark.session import spread
 
 #: Words of a passage.
 PASSAGE = 13
-#: Passages of all items together up to which their hash set is broadcast (about 16 MB); beyond it they are joined.
-MAX_BROADCAST = 1_000_000
+#: Bytes that the passages of all items may take in a worker's memory to be broadcast; beyond it they are joined.
+MAX_BROADCAST = 512 << 20
+#: Bytes of a passage in a worker besides its words: its entries in a dictionary, its tuple, its hash.
+PASSAGE_BYTES = 400
+#: Bits of the map of the passages' hashes that then keeps other windows from being shuffled: 16 for each passage, within these.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 30
 
 _WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -67,8 +71,8 @@ def passages(items: DataFrame, *, item: str = "item_id", text: str = "text", siz
     return items.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).mapInPandas(cut, "item bigint, n int, hash bigint, words string").distinct()
 
 
-def _scan(batches: Iterator[pd.DataFrame], lengths: list[int], wanted: dict[int, np.ndarray] | None) -> Iterator[pd.DataFrame]:
-    """Every window of each length whose hash is wanted (all, if wanted is None): (doc, n, hash, start, words)."""
+def _scan(batches: Iterator[pd.DataFrame], lengths: list[int], wanted: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Every window of each length whose hash is wanted: (doc, n, hash, start, words)."""
     for b in (whole.iloc[k : k + 500] for whole in batches for k in range(0, len(whole), 500)):
         texts = [words_of(t) for t in b["text"]]
         flat = np.array([w for t in texts for w in t], dtype=object)
@@ -84,7 +88,7 @@ def _scan(batches: Iterator[pd.DataFrame], lengths: list[int], wanted: dict[int,
                     continue
                 w = _windows(h, up, down, n)
                 whole = of[: len(w)] == of[n - 1 :]  # the window doesn't leave its document
-                hit = whole if wanted is None else whole & np.isin(w, wanted[n])
+                hit = whole & wanted(n, w)
                 for k in np.flatnonzero(hit):
                     d = int(of[k])
                     s = int(k - (ends[d] - counts[d]))
@@ -93,43 +97,67 @@ def _scan(batches: Iterator[pd.DataFrame], lengths: list[int], wanted: dict[int,
                     out["hash"].append(np.int64(w[k].astype(np.int64)))
                     out["start"].append(s)
                     out["words"].append(" ".join(flat[k : k + n]))
-        yield pd.DataFrame(out)
+        if out["doc"]:  # a column without values would have no type
+            yield pd.DataFrame(out)
 
 
 _HITS = "doc bigint, n int, hash bigint, start int, words string"
 
 
+def hash_bits(grams: DataFrame, bits: int) -> np.ndarray:
+    """A map of `bits` bits (a power of two), of which those are set that hashes of the passages have as their upper bits.
+
+    The bits are put together by Spark, 64 to a row, so that the driver gets at most bits / 64 rows.
+    """
+    place = F.shiftrightunsigned(F.col("hash"), 64 - bits.bit_length() + 1)
+    marked = grams.select(F.shiftright(place, 6).alias("word"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
+    words = marked.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("set")).toPandas()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[words["word"].to_numpy(dtype=np.int64)] = words["set"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def _marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be those of passages."""
+    place = hashes >> np.uint64(64 - len(marks).bit_length() + 1 - 6)
+    return (marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = PASSAGE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(doc, item, start, n): each place, counted in words, where a document holds a passage of an item.
 
     A passage is `size` successive words, or all words of a shorter item; words are runs of letters and digits in lower case,
-    whatever stands between them. The passages' hash set is broadcast if their number, which is counted first, is within
-    `max_broadcast`; otherwise the documents' windows are joined with them by hash. Either way every hit is verified by its words.
+    whatever stands between them. The passages are broadcast with their hash set if their bytes, which are counted first, are
+    within `max_broadcast`. Otherwise a map of bits of a fixed size is broadcast, which holds all their hashes and few others,
+    and the documents' windows that it lets through are joined with them. Either way every hit is verified by its words.
     Null, empty and wordless texts hold nothing; equal rows give equal results once; other columns are ignored.
     """
     grams = passages(items, item=item, text=item_text, size=size).persist()
     rows = spread(docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where("text is not null"))
     lengths = [r.n for r in grams.select("n").distinct().collect()]  # at most `size` values
-    n = grams.count()
-    if n <= max_broadcast:
+    total = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(2 * F.octet_length("words")), F.lit(0)).alias("size")).first()
+    context = docs.sparkSession.sparkContext
+    if total.n * PASSAGE_BYTES + total.size <= max_broadcast:
         by_hash = defaultdict(list)
         by_length = defaultdict(set)
         for r in grams.toLocalIterator():
             by_hash[r.n, r.hash].append((r.item, r.words))
             by_length[r.n].add(np.uint64(r.hash % 2**64))
         wanted = {k: np.array(sorted(v), dtype=np.uint64) for k, v in by_length.items()}
-        shared = docs.sparkSession.sparkContext.broadcast((dict(by_hash), wanted))
+        shared = context.broadcast((dict(by_hash), wanted))
         grams.unpersist()
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             of, sets = shared.value
-            for hits in _scan(batches, lengths, sets):
+            for hits in _scan(batches, lengths, lambda n, w: np.isin(w, sets[n])):
                 found = [(d, i, s, k) for d, k, h, s, w in hits.itertuples(index=False) for i, x in of[k, h] if x == w]
                 yield pd.DataFrame(found, columns=["doc", "item", "start", "n"])
 
         leaks = rows.mapInPandas(scan, "doc bigint, item bigint, start int, n int")
     else:
-        windows = rows.mapInPandas(lambda b: _scan(b, lengths, None), _HITS)
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(16 * total.n).bit_length()))
+        marks = context.broadcast(hash_bits(grams, bits))
+        windows = rows.mapInPandas(lambda b: _scan(b, lengths, lambda _, w: _marked(marks.value, w)), _HITS)
         leaks = windows.join(grams, ["n", "hash", "words"]).select("doc", "item", "start", "n")
     return leaks.distinct().select(F.col("doc").alias(doc), F.col("item").alias(item), "start", "n")
 

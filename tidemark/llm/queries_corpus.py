@@ -91,13 +91,23 @@ def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizing.decode_corpus(p6_ids(spark, folder), vocabulary=tokenizing.vocabulary_path())
 
 
-@R.query("p7_found")
+#: Windows of 13 words, or all words of a shorter item, of items and documents, and where they are the same.
+_P7_SQL = """
+with iw as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') as w from eval_items where text is not null),
+ig as (select distinct item_id, n, list_slice(w, k, k + n - 1) as g from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as k from (select *, least(13, len(w)) as n from iw where len(w) > 0))),
+dw as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') as w from documents where text is not null),
+dg as (select distinct doc_id, n, list_slice(w, k, k + n - 1) as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from dw, (select distinct n from ig) where len(w) >= n)),
+found as (select distinct doc_id, item_id from dg join ig on dg.n = ig.n and dg.g = ig.g)
+"""
+
+
+@R.query("p7_found", _P7_SQL + "select doc_id, item_id from found")
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each document with each evaluation item of which it holds a passage."""
     return leakage.leaked_pairs(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-@R.query("p7_kept")
+@R.query("p7_kept", _P7_SQL + "select doc_id, lang, source from documents where doc_id not in (select doc_id from found)")
 def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
     """The documents into which no evaluation item leaked."""
     docs = table(spark, folder, "documents")

@@ -223,7 +223,7 @@ class Classifiers:
     validation: list[tuple[str, str, int, int, int, int]]
 
 
-def _feature_rows(view: str, rows: list[tuple[str, str, bool, bool | None, str]]) -> dict[str, list]:
+def _feature_rows(view: str, rows: list[tuple[str, str, bool, bool | None, str]]) -> Iterator[pd.DataFrame]:
     """The rows (view, full_name, label, the other view's label, text) of a view with their features and values."""
     out: dict[str, list] = {"view": [], "full_name": [], "label": [], "other": [], "features": [], "values": []}
     own = [r for r in rows if r[0] == view]
@@ -235,7 +235,8 @@ def _feature_rows(view: str, rows: list[tuple[str, str, bool, bool | None, str]]
         if a < z:
             for c, v in zip(out, (*r[:2], float(r[2]), None if r[3] is None else float(r[3]), f[a:z].tolist(), (n[a:z] / n[a:z].sum() * _scale(view)).tolist()), strict=True):
                 out[c].append(v)
-    return out
+    if out["view"]:  # a column without values would have no type
+        yield pd.DataFrame(out)
 
 
 _LABELLED = "view string, full_name string, label double, other double, features array<int>, values array<float>"
@@ -250,7 +251,7 @@ def _code_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             made, copied = structure_evidence(code), outside_notice(name, above) or taken_elsewhere(name, above) or vendor_folder(path)
             if made is not None:  # comments tell of generated code only by saying so, and nothing of copied code
                 rows.append(("code", name, made, True if GIVEAWAYS.search(above) else None if copied or not above else False, code))
-        yield pd.DataFrame(_feature_rows("code", rows))
+        yield from _feature_rows("code", rows)
 
 
 def _comment_rows(batches: Iterator[pd.DataFrame], weights: np.ndarray, bias: float) -> Iterator[pd.DataFrame]:
@@ -263,14 +264,14 @@ def _comment_rows(batches: Iterator[pd.DataFrame], weights: np.ndarray, bias: fl
         for (name, path, code, above), m in zip(files, made.tolist(), strict=True):
             other = structure_evidence(code)
             rows += [("comment", name, m or line_says(name, x) or vendor_folder(path), other, x) for x in comment_lines(above)[:SAMPLE_LINES]]
-        yield pd.DataFrame(_feature_rows("comment", rows))
+        yield from _feature_rows("comment", rows)
 
 
 def _path_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Paths, labelled by what the other classifiers say of the content."""
     for b in batches:
         rows = [("path", n, m or o, None, p) for n, p, m, o in b[["full_name", "path", "machine", "outside"]].itertuples(index=False)]
-        yield pd.DataFrame(_feature_rows("path", rows))
+        yield from _feature_rows("path", rows)
 
 
 def fit_support_vectors(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, cost: float = 10.0, epochs: int = 30, seed: int = 5) -> tuple[np.ndarray, float]:
