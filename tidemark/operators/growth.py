@@ -7,16 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 WINDOWS = (1, 7, 30, 90)
 _READINGS = ("stars", "forks", "downloads_30d", "open_issues")
 
 
 def history(observations: DataFrame, *, source: str = "github", days: int = 91) -> DataFrame:
-    """The source's readings of the last `days` before its latest one, once per repository and instant (the first arrival stands)."""
+    """The source's readings of the last `days` before its latest one, once per repository and instant (the first arrival stands).
+
+    The latest instant is a scalar subquery, so the scan can skip what is older; the result is written, as growth reads it twice.
+    """
     rows = observations.where((F.col("source") == source) & F.col("repository_id").isNotNull() & F.col("observed_at").isNotNull())
-    last = rows.agg(F.max("observed_at").alias("last_at"))
-    recent = rows.join(F.broadcast(last)).where(F.col("observed_at") >= F.col("last_at") - F.expr(f"interval {days} days"))
-    return recent.groupBy("repository_id", "observed_at").agg(*[F.min_by(c, "id").alias(c) for c in _READINGS])
+    last = rows.agg(F.max("observed_at")).scalar()
+    recent = rows.where(F.col("observed_at") >= last - F.expr(f"interval {days} days"))
+    return materialize(recent.groupBy("repository_id", "observed_at").agg(*[F.min_by(c, "id").alias(c) for c in _READINGS]), "history")
 
 
 def hours_between(a: Column, b: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,23 +61,25 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def keep_recent(df: DataFrame, *, at: str, days: int = 90) -> DataFrame:
-    """Rows of the last `days` before the table's latest instant."""
-    last = df.agg(F.max(at).alias("_last"))
-    return df.join(F.broadcast(last)).where(F.col(at) >= F.col("_last") - F.expr(f"interval {days} days")).drop("_last")
+def keep_recent(df: DataFrame, *, at: str, days: int = 90, as_of: datetime | None = None) -> DataFrame:
+    """Rows of the last `days` before `as_of`, or before the table's latest instant if that isn't given; rows without an instant go."""
+    return df.where(F.col(at) >= _now(df, at, as_of) - F.expr(f"interval {days} days"))
 
 
-def compact(df: DataFrame, keys: Sequence[str], *, at: str, order: str, young: int = 30, old: int = 90) -> DataFrame:
-    """Of rows between `young` and `old` days before the table's latest instant only the last of each key and day; all others stay.
+def _now(df: DataFrame, at: str, as_of: datetime | None) -> Column:
+    return df.agg(F.max(at)).scalar() if as_of is None else F.lit(as_of).cast(df.schema[at].dataType)
+
+
+def compact(df: DataFrame, keys: Sequence[str], *, at: str, order: str, young: int = 30, old: int = 90, as_of: datetime | None = None) -> DataFrame:
+    """Of rows between `young` and `old` days before `as_of` (the table's latest instant if that isn't given) only the last of each key and day; all others stay.
 
     The window runs within a key and day, so a hot key is spread over its days.
     """
-    last = df.agg(F.max(at).alias("_last"))
-    rows = df.join(F.broadcast(last))
-    between = (F.col(at) < F.col("_last") - F.expr(f"interval {young} days")) & (F.col(at) >= F.col("_last") - F.expr(f"interval {old} days"))
+    now = _now(df, at, as_of)
+    between = (F.col(at) < now - F.expr(f"interval {young} days")) & (F.col(at) >= now - F.expr(f"interval {old} days"))
     w = Window.partitionBy(*keys, F.to_date(at)).orderBy(F.col(at).desc(), F.col(order).desc())
-    kept = rows.where(between).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return rows.where(~between).unionByName(kept).drop("_last")
+    kept = df.where(between).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return df.where(~F.coalesce(between, F.lit(False))).unionByName(kept)
 
 
 def missing_from_cache(texts: DataFrame, cache: DataFrame, *, digest: str) -> DataFrame:

@@ -25,7 +25,7 @@ def hard_negatives(snapshots: DataFrame, *, positives: Column, n: int = 3) -> Da
     Candidates aren't archived and have the positive's language, or any if no other repository has it. They are ranked by
     the share of common tokens, then by their number. Candidates are found by shared tokens, without the language's own
     token, which nearly every candidate of a language has; of those that share no other one, only the first by number of tokens
-    and the first by their own number can be among the best, and these are added.
+    and the first by their own number can be among the best, and these are added; at most n + 1 of a pool leave a task for that.
     positives: which repositories to take as queries; every repository is searched.
     """
     latest = materialize(
@@ -43,14 +43,15 @@ def hard_negatives(snapshots: DataFrame, *, positives: Column, n: int = 3) -> Da
     lonely = F.col("peers").isNull() | ((F.col("peers") == 1) & (F.col("one") == F.col("full_name")))
     asked = asked.select("query", "q", F.col("full_name").alias("positive"), F.col("language").alias("own"), F.when(lonely, "*").otherwise(F.col("language")).alias("pool"))
     everyone = pool.select("full_name", "ordinal", "tokens", F.explode(F.array("language", F.lit("*"))).alias("pool"), "language")
-    wanted = everyone.join(F.broadcast(asked.select("pool").distinct()), "pool", "left_semi")
+    wanted = everyone.join(asked.select("pool").distinct(), "pool", "left_semi")
     skip = lambda tokens: F.filter(tokens, lambda t: t != F.lower("pool"))
     left = asked.select("query", "positive", "pool", F.explode(skip(F.col("q"))).alias("token"))
     right = wanted.select("pool", F.col("full_name").alias("negative"), F.explode(skip(F.col("tokens"))).alias("token"))
     shared = left.join(right, ["pool", "token"]).where("positive <> negative").groupBy("positive", "negative").agg(F.count("*").alias("n"))
-    by_size = Window.partitionBy("pool").orderBy(F.array_contains("tokens", F.lower("language")).desc(), F.size("tokens"), "ordinal")
-    by_number = Window.partitionBy("pool").orderBy("ordinal")
-    first = wanted.withColumn("k", F.row_number().over(by_size)).withColumn("i", F.row_number().over(by_number)).where((F.col("k") <= n + 1) | (F.col("i") <= n + 1))
+    narrow = wanted.select("pool", "full_name", "ordinal", F.array_contains("tokens", F.lower("language")).alias("speaks"), F.size("tokens").alias("size"))
+    orders = ([F.col("speaks").desc(), F.col("size"), F.col("ordinal")], [F.col("ordinal")])
+    firsts = [narrow.withColumn("k", F.row_number().over(Window.partitionBy("pool").orderBy(*o))).where(F.col("k") <= n + 1) for o in orders]
+    first = firsts[0].unionByName(firsts[1])
     fill = asked.select("positive", "pool").join(first.select("pool", F.col("full_name").alias("negative")), "pool").where("positive <> negative").select("positive", "negative", F.lit(0).cast("long").alias("n"))
     pairs = shared.unionByName(fill).groupBy("positive", "negative").agg(F.max("n").alias("n"))
     speaks = F.array_contains("tokens", F.lower("language"))

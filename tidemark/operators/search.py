@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import tokens
+from tidemark.session import materialize
+
+#: Bytes of the packed query vectors up to which they are broadcast; beyond it each block of vectors goes to each group of queries.
+MAX_QUERY_BYTES = 64 << 20
 
 
 def top_k(rows: DataFrame, *, query: str, doc: str, score: str, k: int) -> DataFrame:
@@ -26,14 +30,18 @@ def document_frequency(docs: DataFrame, *, doc: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, *, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query") -> DataFrame:
     """(query, doc, bm25) of all documents that share a term with a query.
 
-    Repeated query terms count as often as they stand. Only terms of the queries leave the scan of the documents, counted
-    per document before they are shuffled; documents and their length are never joined in full.
+    Repeated query terms count as often as they stand. Documents are cut into tokens once: only terms of the queries leave the
+    scan, counted per document before they are shuffled, and one row without a term for each document, from which the number of
+    documents and their mean length come. That is written, and all statistics are taken from it.
     """
     wanted = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
     rows = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("tokens"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    uses = rows.select("doc", F.size("tokens").alias("size"), F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = uses.groupBy("doc", "size", "term").agg(F.count("*").alias("tf"))
+    uses = rows.select("doc", F.size("tokens").alias("size"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+    asked = wanted.select("term").distinct().withColumn("asked", F.lit(True))
+    counted = uses.join(asked, "term", "left").where("asked or term is null").groupBy("doc", "size", "term").agg(F.count("*").alias("tf"))
+    counted = materialize(counted, "terms")
+    stats = counted.where("term is null").agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    tf = counted.where("term is not null")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("size") / F.greatest(F.lit(1.0), F.col("mean"))))
@@ -63,9 +71,28 @@ def _pack(block: int):  # noqa: ANN202
     return pack
 
 
-def _block_pairs(vectors: DataFrame, queries: DataFrame, id: str, vector: str, block: int) -> DataFrame:  # noqa: A002
-    rows = lambda df: df.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null").mapInArrow(_pack(block), "ids array<bigint>, matrix binary")
-    return rows(queries).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")).crossJoin(rows(vectors))
+def _block_pairs(vectors: DataFrame, queries: DataFrame, id: str, vector: str, block: int, max_bytes: int = MAX_QUERY_BYTES) -> DataFrame:  # noqa: A002
+    """Each block of vectors with each block of queries.
+
+    The queries' bytes are counted first. Up to `max_bytes` they are broadcast; beyond it they are split into groups of about
+    a block, and the blocks of vectors are repeated for each group and shuffled to it.
+    """
+    packed = "ids array<bigint>, matrix binary"
+    rows = lambda df: df.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null")
+    asked, blocks = rows(queries), rows(vectors).mapInArrow(_pack(block), packed)
+    name = lambda df: df.withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"})
+    total = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(8 * F.size("v") + 8), F.lit(0)).alias("size")).first()
+    if total.size <= max_bytes:
+        return blocks.join(F.broadcast(name(asked.mapInArrow(_pack(block), packed))))
+    groups = -(-total.n // block)
+
+    def pack(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(_pack(table.num_rows)(iter(table.select(["id", "v"]).combine_chunks().to_batches())))
+
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    asked = asked.groupBy("group").applyInArrow(lambda key, table: pack(table).append_column("group", pa.array([key[0].as_py()], pa.int64())), packed + ", group bigint")
+    everywhere = blocks.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    return everywhere.join(name(asked), "group").drop("group")
 
 
 def _product(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +101,7 @@ def _product(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q_ids, ids, q @ m.T
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str, block: int = 1024) -> DataFrame:  # noqa: A002
+def similarities(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str, block: int = 1024, max_bytes: int = MAX_QUERY_BYTES) -> DataFrame:  # noqa: A002
     """(query, id, similarity): the cosine of every query with every vector, also with its own. All vectors must have one length."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,16 +110,16 @@ def similarities(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str
                 q_ids, ids, s = _product(r)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, len(ids))), pa.array(np.tile(ids, len(q_ids))), pa.array(s.ravel())], names=["query", "id", "similarity"])
 
-    return _block_pairs(vectors, queries, id, vector, block).mapInArrow(multiply, "query bigint, id bigint, similarity double")
+    return _block_pairs(vectors, queries, id, vector, block, max_bytes).mapInArrow(multiply, "query bigint, id bigint, similarity double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str, k: int, block: int = 1024) -> DataFrame:  # noqa: A002
+def nearest(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str, k: int, block: int = 1024, max_bytes: int = MAX_QUERY_BYTES) -> DataFrame:  # noqa: A002
     """(query, id, similarity, place): the k most similar vectors of each query, exactly, by cosine.
 
     Queries and vectors are packed into blocks; each pair of blocks is one matrix product that keeps k rows a query, and the
     blocks' winners meet in a window by query. A query doesn't find itself. All vectors must have one length.
     """
-    pairs = _block_pairs(vectors, queries, id, vector, block)
+    pairs = _block_pairs(vectors, queries, id, vector, block, max_bytes)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
