@@ -38,6 +38,34 @@ def test_scan_budget_and_secrets(spark):
     assert context.frameworks == ["spark"] and context.files == 3 and context.languages == ["python"]
 
 
+def test_manifests_declare_dependencies(spark):
+    rows = [
+        ("package.json", '{"name": "x", "dependencies": {"React": "^18", "@next": "1", "left": {"a": 1}}, "devDependencies": {"vite": null}}'), ("sub/package.json", '{"dependencies": {"lodash": "4"}}'), ("b/package.json", "{broken"),
+        ("pyproject.toml", '[build-system]\nrequires = ["setuptools"]\n\n[project]\nname = "x"\ndependencies = [\n  "fastapi>=0.1",\n  # "not this",\n  "uvicorn[standard]",\n  \'torch >= 2\',\n]\n[project.optional-dependencies]\ndev = ["pytest"]\n'),
+        ("requirements.txt", "# top\nflask==2.0\r\nkafka>=1\nnumpy \n\n"), ("go.mod", "module x"), ("src/a.py", "import redis\nfrom os import path\nclass A: pass\ndef b(): pass"), ("src/b.py", "password = 1\nimport django"),
+    ]
+    df = spark.createDataFrame([("o/r", *x) for x in rows] + [("o/s", "README.md", "x")], "full_name string, path string, content string")
+    want = {"React", "@next", "left", "vite", "lodash", "fastapi", "uvicorn[standard]", "torch", "flask", "kafka", "numpy"}
+    assert {r.dependency for r in c.declared(df).collect()} == want
+    got = {r.full_name: r for r in c.project_context(c.scan(df)).collect()}["o/r"]
+    assert set(got.dependencies) == want | {"redis", "os", "path"}  # the pattern takes `import path` for an import
+    assert got.dependencies == sorted(got.dependencies) and got.frameworks == ["@next", "React", "fastapi", "flask", "kafka", "redis", "torch"]
+    assert got.symbols == ["A", "b"] and got.languages == ["python"] and got.files == 8
+    assert got.summary.startswith("Local project with 8 safe files; primary languages: python; dependencies: @next, React, ")
+    (text,) = c.context_text(c.project_context(c.scan(df))).where("full_name = 'o/r'").collect()
+    assert text.context.startswith("Project context: python @next React fastapi") and text.context.endswith(got.summary)
+
+
+def test_ignore_files(spark):
+    lines = "# x\n\n*.log.py\n/only_root.py\nout/\ndocs/**\n**/gen/*.py\n!gen/keep.py\na?c.py\n[xy]z.py\n!out/back.py\n\\#odd.py\ntrail.py   \n"
+    gone = ["a.log.py", "d/a.log.py", "only_root.py", "out/a.py", "d/out/e/a.py", "out/back.py", "docs/a.py", "docs/d/a.py", "gen/a.py", "d/gen/a.py", "abc.py", "xz.py", "#odd.py", "trail.py"]
+    kept = ["d/only_root.py", "outer/a.py", "a.py", "gen/keep.py", "gen/d/a.py", "d/docs.py", "abbc.py", "zz.py", "out.py"]
+    rows = [("o/r", ".gitignore", lines)] + [("o/r", p, "x") for p in gone + kept] + [("o/s", p, "x") for p in gone]
+    df = spark.createDataFrame(rows, "full_name string, path string, content string")
+    assert sorted(r.path for r in c.ignored(df).collect()) == sorted(gone)
+    assert {(r.full_name, r.path) for r in c.scan(df).collect()} == {("o/r", p) for p in kept} | {("o/s", p) for p in gone}
+
+
 def test_whole_scan_reads_up_to_the_full_budget(spark, tmp_path):
     rows = [("o/many", f"f{i:03}.py", "token = 1" if i == 119 else "x") for i in range(130)] + [("o/large", f"f{i:02}.py", "y" * 99_000) for i in range(15)]
     df = spark.createDataFrame(rows, "full_name string, path string, content string").selectExpr("*", "timestamp_ntz'2026-01-01 00:00:00' as fetched_at", "1L as file_id")

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.operators.rolling import rolling_gains
+from tidemark.session import CO_PARTITION
 
 SCHEMA = "id long, repository_id string, observed_at timestamp_ntz, stars int, forks int, downloads_30d long, day string, entity string, lag int"
 
@@ -66,6 +67,7 @@ def test_empty_and_single(spark):
 
 def test_one_scan_and_two_shuffles(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set(CO_PARTITION, "false")
     try:
         rows = [(i, "a" if i % 3 else "b", datetime(2026, 1, 1 + i % 28), i, i, i, "", "", 0) for i in range(200)]
         df = rolling_gains(spark.createDataFrame(rows, SCHEMA))
@@ -73,4 +75,5 @@ def test_one_scan_and_two_shuffles(spark):
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set(CO_PARTITION, "true")
     assert "SortMergeJoin" in plan and plan.count("- Exchange hashpartitioning") == 2 and "ReusedExchange" in plan

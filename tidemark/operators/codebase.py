@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -200,39 +201,122 @@ def code_metrics(files: DataFrame) -> DataFrame:
 # Safe scan -----------------------------------------------------------------------------------------------------------
 
 
-def scan(files: DataFrame, *, group: str = "full_name", max_files: int = 120, max_bytes: int = 1_000_000, ignore: list[str] | None = None) -> DataFrame:
+def ignore_regex(line: str) -> tuple[str, bool] | None:
+    """The regular expression of a line of an ignore file, over paths of which those of folders end in `/`, and whether it
+    takes paths back in; None for lines that say nothing."""
+    line = re.sub(r"(?<!\\) +$", "", line.rstrip("\r\n"))
+    if not line or line.startswith("#"):
+        return None
+    back, line = line.startswith("!"), line.removeprefix("!")
+    folder, line = line.endswith("/"), line.rstrip("/")
+    anchored, line = "/" in line, line.removeprefix("/")
+    if not line:
+        return None
+    tokens = re.findall(r"\*\*/|/\*\*$|\*+|\?|\[!?\]?[^\]]*\]|\\.|.", line)
+    known = {"**/": "(?:.*/)?", "/**": "/.+", "?": "[^/]"}
+    body = "".join(known.get(t) or ("[^/]*" if t[0] == "*" else "[" + ("^" if t[1] == "!" else "") + t[1 + (t[1] == "!") : -1].replace("\\", "\\\\") + "]" if t[0] == "[" and len(t) > 1 else re.escape(t[-1])) for t in tokens)
+    return ("^" if anchored else "^(?:.*/)?") + body + ("/$" if folder else "/?$"), back
+
+
+def ignored(files: DataFrame, *, group: str = "full_name") -> DataFrame:
+    """(group, path): the files that the ignore file at their group's root leaves out.
+
+    Of the lines that match a path the last decides; a file in an ignored folder is ignored whatever later lines say of it.
+    Lines meet only the paths of their own group, exploded into folders and file.
+    """
+
+    def translate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(g, i, *r) for g, text in zip(b["g"], b["content"], strict=True) for i, line in enumerate(text.split("\n")) if (r := ignore_regex(line))]
+            yield pd.DataFrame(rows, columns=["g", "line", "regex", "back"])
+
+    roots = files.where("path = '.gitignore' and content is not null").select(F.col(group).alias("g"), "content")
+    lines = roots.mapInPandas(translate, "g string, line int, regex string, back boolean")
+    split = F.split("path", "/")
+    part = F.transform(F.sequence(F.lit(1), F.size(split)), lambda n: F.concat(F.array_join(F.slice(split, 1, n), "/"), F.when(n < F.size(split), "/").otherwise("")))
+    parts_ = files.select(F.col(group).alias("g"), "path", F.explode(part).alias("part"))
+    hits = parts_.join(lines, "g").where(F.expr("part rlike regex"))
+    last = hits.groupBy("g", "path", "part").agg(F.max_by("back", "line").alias("back")).where("not back")
+    return last.select(F.col("g").alias(group), "path").distinct()
+
+
+def scan(files: DataFrame, *, group: str = "full_name", max_files: int = 120, max_bytes: int = 1_000_000) -> DataFrame:
     """The files of each group that a bounded scan reads, in order of path, with `secret` for those it then leaves aside.
 
-    Denied names and folders, files that are neither sources nor manifests, and files over 100 kB are never opened. Reading
-    stops once the files before hold `max_files` or `max_bytes`. ignore: SQL LIKE patterns of paths to leave out.
+    Denied names and folders, files that the group's ignore file leaves out, files that are neither sources nor manifests, and
+    files over 100 kB are never opened. Reading stops once the files before hold `max_files` or `max_bytes`.
     """
     p, size = F.col("path"), F.octet_length("content")
     allowed = ~base(p).isin(DENIED_NAMES) & ~base(p).startswith(".env") & ~F.arrays_overlap(F.slice(F.split(p, "/"), 1, F.greatest(F.lit(0), F.size(F.split(p, "/")) - 1)), _strings(DENIED_FOLDERS))
-    for pattern in ignore or []:
-        allowed = allowed & ~p.like(pattern)
     known = language_of(p).isNotNull() | base(p).isin(MANIFESTS[:5])
-    rows = files.where(F.col("content").isNotNull() & allowed & known & (size <= 100_000))
+    rows = files.where(F.col("content").isNotNull() & allowed & known & (size <= 100_000)).join(ignored(files, group=group), [group, "path"], "left_anti")
     before = Window.partitionBy(group).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("read", F.count("*").over(before)).withColumn("consumed", F.coalesce(F.sum(size).over(before), F.lit(0)))
     rows = rows.where((F.col("read") < max_files) & (F.col("consumed") < max_bytes))
     return rows.select(group, "path", "content", language_of(p).alias("language"), F.col("content").rlike(SECRET).alias("secret"))
 
 
+def declared(files: DataFrame, *, group: str = "full_name") -> DataFrame:
+    """(group, dependency): what the manifests of each group declare, as written; a broken manifest declares nothing.
+
+    package.json: the names of dependencies and devDependencies; pyproject.toml: the project's dependencies up to a space or
+    `>=`; requirements.txt: its lines up to `==` or `>=`.
+    """
+    name, text = F.element_at(F.split("path", "/"), -1), F.col("content")
+    empty = F.array().cast("array<string>")
+    package = F.from_json(text, "dependencies map<string,string>, devDependencies map<string,string>")
+    keys = lambda c: F.coalesce(F.map_keys(package[c]), empty)
+    project = F.regexp_extract(text, r"(?ms)^\s*\[project\][^\n]*$(.*?)(?=^\s*\[|\z)", 1)
+    listed = F.regexp_extract(project, r"""(?ms)^\s*dependencies\s*=\s*\[((?:[^\]"'#]|#[^\n]*|"[^"]*"|'[^']*')*)\]""", 1)
+    strings = F.transform(F.regexp_extract_all(F.regexp_replace(listed, r"(?m)^\s*#.*$", ""), F.lit("\"[^\"]*\"|'[^']*'"), F.lit(0)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    before = lambda x, mark: F.element_at(F.split(x, mark), 1)
+    lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: (x != "") & ~x.startswith("#"))
+    found = (
+        F.when(name == "package.json", F.concat(keys("dependencies"), keys("devDependencies")))
+        .when(name == "pyproject.toml", F.transform(strings, lambda x: before(before(x, " "), ">=")))
+        .when(name == "requirements.txt", F.transform(lines, lambda x: F.trim(before(before(x, "=="), ">="))))
+    )
+    return files.where(name.isin("package.json", "pyproject.toml", "requirements.txt")).select(group, F.explode(found).alias("dependency")).distinct()
+
+
+#: Words that patterns take for imports.
+NO_DEPENDENCY = ["from", "import", "include", "require", "use"]
+
+
 def project_context(scanned: DataFrame, *, group: str = "full_name") -> DataFrame:
-    """(group, languages, imports, symbols, frameworks, files) of what a scan kept: languages by use, names in alphabetical order, capped at 100."""
+    """(group, files, languages, dependencies, frameworks, symbols, summary) of what a scan read.
+
+    Files with secrets count, but nothing is taken from them. Languages come by use, then by first path; dependencies are
+    imports and what manifests declare, in alphabetical order, the first 100; frameworks those of all of them with a known
+    name; symbols the first 20 of each file in the order of paths, each once, the first 100. The summary names four languages
+    and thirty dependencies.
+    """
     kept = scanned.where("not secret")
+    empty = F.array().cast("array<string>")
     use = kept.where("language is not null").groupBy(group, "language").agg(F.count("*").alias("n"), F.min("path").alias("seen"))
     languages = use.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "seen", "language"))).alias("x")).select(group, F.transform("x", lambda x: x["language"]).alias("languages"))
-    found = names(kept, keep=(group, "path"))
+    found = names(kept.where("language is not null"), keep=(group, "path"))
+    imported = found.select(group, F.explode("imports").alias("dependency")).where(~F.lower("dependency").isin(NO_DEPENDENCY))
+    needed = imported.unionByName(declared(kept, group=group)).distinct()
+
+    def first(values: DataFrame, order: list[str], name: str, value: str) -> DataFrame:
+        best = values.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("k <= 100")
+        return best.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("k", value))).alias("x")).select(group, F.transform("x", lambda x: x[value]).alias(name))
+
+    frameworks = needed.where(F.trim(F.lower("dependency"), F.lit("@")).isin(FRAMEWORKS))
+    symbols = found.select(group, "path", F.posexplode(F.slice("symbols", 1, 20)).alias("pos", "symbol")).groupBy(group, "symbol").agg(F.min(F.struct("path", "pos")).alias("seen"))
+    parts_ = (languages, first(needed, ["dependency"], "dependencies", "dependency"), first(frameworks, ["dependency"], "frameworks", "dependency"), first(symbols, ["seen", "symbol"], "symbols", "symbol"))
+    out = scanned.groupBy(group).agg(F.count("*").alias("files"))
+    for part in parts_:
+        out = out.join(part, group, "left")
+    out = out.select(group, "files", *[F.coalesce(c, empty).alias(c) for c in ("languages", "dependencies", "frameworks", "symbols")])
+    top = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
+    # The wording of a summary.
+    summary = F.concat(F.lit("Local project with "), F.col("files"), F.lit(" safe files; primary languages: "), top("languages", 4), F.lit("; dependencies: "), top("dependencies", 30))
+    return out.withColumn("summary", summary)
 
-    def top(column: str, name: str, only: Column | None = None) -> DataFrame:
-        values = found.select(group, F.explode(column).alias("v")).distinct()
-        values = values if only is None else values.where(only)
-        best = values.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy("v"))).where("k <= 100")
-        return best.groupBy(group).agg(F.array_sort(F.collect_list("v")).alias(name))
 
-    out = scanned.groupBy(group).agg(F.count("*").alias("files")).join(languages, group, "left")
-    for part in (top("imports", "imports"), top("symbols", "symbols"), top("imports", "frameworks", F.lower("v").isin(FRAMEWORKS))):
-        out = out.join(part, group, "left")
-    empty = F.array().cast("array<string>")
-    return out.select(group, "files", *[F.coalesce(c, empty).alias(c) for c in ("languages", "imports", "symbols", "frameworks")])
+def context_text(context: DataFrame, *, group: str = "full_name") -> DataFrame:
+    """(group, context): a project's context as the words that a search adds to its query."""
+    parts_ = [F.array_join(F.col(c), " ") for c in ("languages", "frameworks", "dependencies", "symbols")]
+    return context.select(group, F.concat_ws(" ", F.lit("Project context:"), *parts_, "summary").alias("context"))

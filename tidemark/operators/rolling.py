@@ -39,7 +39,8 @@ def rolling_gains(
 
     Every day's gain is exploded onto the later days it influences, summed by entity and day, and joined to calendar rows, which
     hold each day's own gain, 0 on days without a reading. After `daily_readings` an entity has one row a day, so no group grows
-    with the number of readings. Both sides come from one scan and one shuffle by entity. Empty input gives an empty result;
+    with the number of readings. Both sides come from one scan and one shuffle by entity, which the join also uses where the
+    session's CO_PARTITION setting is false. Empty input gives an empty result;
     repeated rows count once; other columns of the input are ignored.
     """
     n, longest = range(len(metrics)), max(periods)

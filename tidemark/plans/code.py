@@ -116,7 +116,7 @@ _MANIFESTS = ", ".join(f"'{x}'" for x in c.MANIFESTS[:5])
 a as (select * from f where string_split(lower(path), '/')[-1] not in ({_DENIED}) and not starts_with(string_split(lower(path), '/')[-1], '.env') and not list_has_any(list_slice(string_split(path, '/'), 1, -2), {_FOLDERS})
   and (regexp_matches(lower(path), '[^/]\\.({_ENDS})$') or string_split(lower(path), '/')[-1] in ({_MANIFESTS})) and octet_length(encode(content)) <= 100000),
 b as (select *, count(*) over w as read, coalesce(sum(octet_length(encode(content))) over w, 0) as consumed from a window w as (partition by full_name order by path rows between unbounded preceding and 1 preceding))
-select full_name, path, regexp_matches(content, '(?i)(api[_-]?key|secret|password|token|private[_-]?key)\\s*[:=]') as secret from b where read < 5 and consumed < 6000""")
+select full_name, path, regexp_matches(content, '{c.SECRET}') as secret from b where read < 5 and consumed < 6000""")
 def safe_scan(spark: SparkSession, folder: str) -> DataFrame:
     """What a scan of at most 5 files and 6,000 bytes a repository reads."""
     return c.scan(contents(spark, folder), max_files=5, max_bytes=6_000).select("full_name", "path", "secret")
@@ -128,9 +128,28 @@ def safe_scan_whole(spark: SparkSession, folder: str) -> DataFrame:
     return c.scan(contents(spark, folder)).select("full_name", "path", "secret")
 
 
-@R.query("project_context")
+_KNOWN = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in c.LANGUAGES.items()) + "}"
+_CAPPED = "list({v} order by {o})[1:100]"
+#: The tables hold no manifests and no ignore files, so the SQL reads none; tests/test_code.py does.
+_CONTEXT = f"""
+r as (select full_name, path, content, regexp_matches(content, '{c.SECRET}') as secret from b where read < 120 and consumed < 1000000),
+n as (select full_name, path, {_KNOWN}[regexp_extract(lower(path), '[^/]\\.([a-z]+)$', 1)] as language, regexp_extract_all(content, '{_SYM}', 1) as symbols, regexp_extract_all(content, '{_IMP}', 1) as imports from r where not secret),
+l as (select full_name, list(language order by k desc, seen) as x from (select full_name, language, count(*) as k, min(path) as seen from n where language is not null group by all) group by all),
+i as (select distinct full_name, d from (select full_name, unnest(imports) as d from n) where lower(d) not in ({', '.join(f"'{x}'" for x in c.NO_DEPENDENCY)})),
+d as (select full_name, {_CAPPED.format(v='d', o='d')} as x from i group by all),
+w as (select full_name, {_CAPPED.format(v='d', o='d')} as x from i where trim(lower(d), '@') in ({', '.join(f"'{x}'" for x in c.FRAMEWORKS)}) group by all),
+y as (select full_name, {_CAPPED.format(v='s', o='seen, s')} as x from (select full_name, symbols[k] as s, min(row(path, k)) as seen from (select full_name, path, symbols, unnest(range(1, least(20, len(symbols)) + 1)) as k from n) group by all) group by all),
+z as (select r.full_name, count(*) as files, coalesce(any_value(l.x), []) as languages, coalesce(any_value(d.x), []) as dependencies, coalesce(any_value(w.x), []) as frameworks, coalesce(any_value(y.x), []) as symbols
+  from r left join l using (full_name) left join d using (full_name) left join w using (full_name) left join y using (full_name) group by r.full_name)
+select full_name, files, array_to_string(languages, ' ') as languages, array_to_string(dependencies, ' ') as dependencies, array_to_string(frameworks, ' ') as frameworks, array_to_string(symbols, ' ') as symbols,
+  'Local project with ' || files || ' safe files; primary languages: ' || array_to_string(languages[1:4], ', ') || '; dependencies: ' || array_to_string(dependencies[1:30], ', ') as summary from z"""
+
+
+@R.query("project_context", R.sql["safe_scan"][: R.sql["safe_scan"].rindex("\nselect")] + "," + _CONTEXT)
 def project_context(spark: SparkSession, folder: str) -> DataFrame:
-    return c.project_context(c.scan(contents(spark, folder)))
+    """The context of every repository as a project: what its files use, need and define."""
+    rows = c.project_context(c.scan(contents(spark, folder)))
+    return rows.select("full_name", "files", *[F.array_join(x, " ").alias(x) for x in ("languages", "dependencies", "frameworks", "symbols")], "summary")
 
 
 @R.query("vectorize_chunks", """with s as (select r.id as repository_id, indexed_commit_sha as commit_sha, code_evidence_paths as p, case when len(code_chunks) > 0 then code_chunks else [architecture_summary] end as ch

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import history, rolling
 from tidemark.plans.registry import Registry
+from tidemark.session import CO_PARTITION
 from tidemark.sources.tables import table
 
 R = Registry()
@@ -42,6 +43,8 @@ totals as (
 
 
 def rolling_github(spark: SparkSession, folder: str) -> DataFrame:
+    """The rolling gains of the github rows; until the next query is set up, joins may use a split by some of their keys."""
+    spark.conf.set(CO_PARTITION, "false")
     return rolling.rolling_gains(table(spark, folder, "repository_observations").where("source = 'github'"))
 
 
