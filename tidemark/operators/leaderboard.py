@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import growth as g
+from tidemark.operators.ingest import upsert
 from tidemark.operators.ranking import global_rank, percentiles
 from tidemark.session import materialize
 
@@ -56,6 +57,7 @@ def scored(repositories: DataFrame, observations: DataFrame, evidence: DataFrame
         one(0.3 + 0.12 * F.least(F.lit(3), F.col("observations")) + 0.2 * code + 0.1 * licensed).alias("confidence"),
     )
     rows = rows.withColumn("originality_score", one(0.55 * (1.0 - F.col("attention_score")) + 0.45 * F.col("depth_score")))
+    # The weights of the score, and the thresholds and names of the labels.
     weights = {"adoption_30d": 0.35, "maintenance_score": 0.2, "quality_score": 0.15, "depth_score": 0.12, "originality_score": 0.1, "attention_score": 0.03}
     base = sum((w * F.col(c) for c, w in weights.items()), F.lit(0.05 * 0.5))
     adoption, attention = F.col("adoption_30d"), F.col("attention_score")
@@ -66,7 +68,37 @@ def scored(repositories: DataFrame, observations: DataFrame, evidence: DataFrame
         .when(adoption >= 0.58, "Emerging")
         .otherwise("Durable")
     )
-    return rows.withColumn("score", base * (0.8 + 0.2 * F.col("confidence"))).withColumn("label", label)
+    return rows.withColumn("score", base * (0.8 + 0.2 * F.col("confidence"))).withColumn("label", label).withColumn("explanation", explanation())
+
+
+#: The version of the features, under which snapshots of the leaderboard are kept.
+FEATURE_VERSION = "leaderboard-v1"
+
+
+def explanation() -> Column:
+    """A score's evidence as JSON: what was gained in each window, how many readings, files and chunks there are, and the method."""
+    gains = {"stars": "stars", "forks": "forks", "downloads": "downloads_30d"}
+    deltas = [F.struct(*[F.col(f"{c}_gain_{w}d").alias(n) for n, c in gains.items()]).alias(str(w)) for w in g.WINDOWS]
+    counts = {"observation_count": "observations", "code_evidence": "evidence_count", "vector_chunks": "vector_count"}
+    return F.to_json(F.struct(F.struct(*deltas).alias("window_deltas"), *[F.col(c).cast("long").alias(n) for n, c in counts.items()], F.lit(FEATURE_VERSION).alias("method")))
+
+
+def add_headers(headers: DataFrame, runs: DataFrame) -> DataFrame:
+    """The table of runs (feature_version, data_watermark, model_version, created_at) after those of `runs` are written: a run
+    that is there already takes the new model_version and keeps its created_at."""
+    return upsert(headers, runs, ["feature_version", "data_watermark"], ["model_version"])
+
+
+def run_recency(headers: DataFrame, *, feature_version: str = FEATURE_VERSION) -> DataFrame:
+    """The runs of a feature version with their recency: 1 the current one, 2 the one before. There is one row a run, so few."""
+    order = Window.orderBy(F.col("data_watermark").desc(), F.col("created_at").desc())
+    return headers.where(F.col("feature_version") == feature_version).withColumn("recency", F.row_number().over(order))
+
+
+def in_window(days: int | None) -> str:
+    """The adoption column of a window: 1, 7 or 90 days, 30 for any other number; what is out of [1, 90] is moved to its nearer end."""
+    days = 90 if days is None else max(1, min(days, 90))
+    return f"adoption_{days if days in (1, 7, 90) else 30}d"
 
 
 def materialized(repositories: DataFrame, observations: DataFrame, evidence: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -90,6 +122,19 @@ def current_and_previous(items: DataFrame) -> DataFrame:
     return moved.withColumn("rank_delta", F.col("prior_rank") - F.col("global_rank")).withColumn("score_delta", F.col("score") - F.col("prior_score")).drop("prior_rank", "prior_score")
 
 
+def window_page(results: DataFrame, prior: DataFrame, repositories: DataFrame, *, window: int | None = 30, **how) -> DataFrame:  # noqa: ANN003
+    """One page of a run's results for a window of days, with movements against the run before; archived repositories are ranked but not shown.
+
+    results: of `materialized`; prior: (full_name, prior_rank, prior_score); repositories: owner, language, stars and the like
+    by id. Filters look at these as they are; what is shown has defaults for nulls.
+    """
+    facts = unique_repositories(repositories).where(~F.col("is_archived")).select(F.col("id").alias("repository_id"), "owner", "description", "language", F.col("license_spdx").alias("license"), "stars", "topics", "github_updated_at")
+    own = ["repository_id", "full_name", "score", F.col(in_window(window)).alias("adoption_score"), *[f"{c}_score" for c in ("maintenance", "quality", "depth", "originality", "attention")]]
+    rows = results.select(*own, F.col("label").alias("status"), "global_rank", "explanation").join(facts, "repository_id").join(prior, "full_name", "left")
+    rows = rows.withColumn("rank_delta", F.col("prior_rank") - F.col("global_rank")).withColumn("score_delta", F.col("score") - F.col("prior_score"))
+    return _page(rows, **how)
+
+
 def page(
     items: DataFrame,
     *,
@@ -105,7 +150,20 @@ def page(
 
     Only the page's rows leave the sort (a top-k), the total is a count of its own.
     """
-    rows = current_and_previous(items)
+    return _page(current_and_previous(items), owner=owner, language=language, license=license, label=label, sort_by=sort_by, limit=limit, offset=offset)
+
+
+def _page(
+    rows: DataFrame,
+    *,
+    owner: str | None = None,
+    language: str | None = None,
+    license: str | None = None,  # noqa: A002
+    label: str | None = None,
+    sort_by: str | None = "overall",
+    limit: int | None = 25,
+    offset: int = 0,
+) -> DataFrame:
     for column, value in (("owner", owner), ("language", language), ("license", license), ("status", label)):
         if value is not None and value.strip():
             rows = rows.where(F.lower(column) == value.strip().lower())

@@ -109,16 +109,85 @@ from c4
 )
 
 
+def _results(spark: SparkSession, folder: str) -> DataFrame:
+    repositories = table(spark, folder, "repositories")
+    chunks = codebase.indexed_snapshots(table(spark, folder, "repository_snapshots"), repositories)
+    return leaderboard.materialized(repositories, table(spark, folder, "repository_observations"), codebase.evidence(chunks), codebase.chunk_counts(chunks))
+
+
 @R.query("leaderboard_full", _LEADERBOARD)
 def leaderboard_full(spark: SparkSession, folder: str) -> DataFrame:
     """The ranked leaderboard with its component scores."""
-    repositories = table(spark, folder, "repositories")
-    chunks = codebase.indexed_snapshots(table(spark, folder, "repository_snapshots"), repositories)
-    rows = leaderboard.materialized(repositories, table(spark, folder, "repository_observations"), codebase.evidence(chunks), codebase.chunk_counts(chunks))
+    rows = _results(spark, folder)
     numbers = ["score", *[f"adoption_{w}d" for w in growth.WINDOWS], *[f"{c}_score" for c in ("maintenance", "quality", "depth", "originality", "attention")], "confidence"]
     return rows.select("full_name", "global_rank", *[F.round(c, 6).alias(c) for c in numbers], "label")
 
 
+_CTES = _LEADERBOARD[: _LEADERBOARD.rindex("\nselect full_name, row_number()")]
+_DELTAS = ", ".join(f"\"{w}\" := struct_pack(stars := s{w}, forks := f{w}, downloads := d{w})" for w in growth.WINDOWS)
+_GAINED = ", ".join(f"cast(max({c}) filter (where days = {w}) as bigint) as {n}{w}" for w in growth.WINDOWS for n, c in (("s", "ds"), ("f", "df"), ("d", "dd")))
+
+
+@R.query(
+    "leaderboard_explanations",
+    _CTES
+    + f""", gained as (select repository_id, {_GAINED} from growth group by 1)
+select full_name, cast(to_json(struct_pack(window_deltas := struct_pack({_DELTAS}), observation_count := n, code_evidence := ev, vector_chunks := vec, method := '{leaderboard.FEATURE_VERSION}')) as varchar) as explanation
+from c4 join gained using (repository_id)""",
+)
+def leaderboard_explanations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every repository of the leaderboard with the evidence of its score."""
+    return _results(spark, folder).select("full_name", "explanation")
+
+
+def _window_sql(window: int, where: str) -> str:
+    return f"""
+with lb as ({_LEADERBOARD}), facts as (select id, any_value(full_name) as full_name, any_value(description) as description, any_value(language) as language, any_value(license_spdx) as license, any_value(stars) as stars from repositories where not is_archived group by id),
+u as (select full_name, data_watermark, min(item_id) as k from leaderboard_items where data_watermark = (select min(data_watermark) from leaderboard_items) group by all),
+prior as (select i.full_name, i.global_rank as prior_rank, i.score as prior_score from leaderboard_items i join u on u.k = i.item_id),
+m as (select lb.full_name, coalesce(f.description, '') as description, coalesce(f.language, 'Unknown') as language, coalesce(f.license, 'NOASSERTION') as license, f.stars, score, adoption_{window}d as adoption_score, maintenance_score, quality_score,
+  depth_score, originality_score, attention_score, label, global_rank, prior_rank - global_rank as rank_delta, round(score - prior_score, 5) as score_delta from lb join facts f using (full_name) left join prior using (full_name) where {where})
+select *, count(*) over () as total_count from m order by adoption_score desc nulls last, full_name limit 25"""
+
+
+def _window_page(window: int, where: str = "true", **how) -> None:  # noqa: ANN003
+    @R.query(f"leaderboard_read_window_{window}", _window_sql(window, where))
+    def read(spark: SparkSession, folder: str) -> DataFrame:
+        """The first page of the leaderboard by adoption over a window, with movements against the older of the two landed runs."""
+        items = table(spark, folder, "leaderboard_items")
+        older = items.where(F.col("data_watermark") == items.agg(F.min("data_watermark")).scalar()).groupBy("full_name")
+        prior = older.agg(F.min_by(F.struct("global_rank", "score"), "item_id").alias("x")).select("full_name", F.col("x.global_rank").alias("prior_rank"), F.col("x.score").alias("prior_score"))
+        scores = ["score", *[f"adoption_{w}d" for w in growth.WINDOWS], *[f"{c}_score" for c in ("maintenance", "quality", "depth", "originality", "attention")]]
+        results = _results(spark, folder).withColumns({c: F.round(c, 6) for c in scores})
+        rows = leaderboard.window_page(results, prior, table(spark, folder, "repositories"), window=window, sort_by="adoption", **how)
+        return rows.withColumn("score_delta", F.round("score_delta", 5))
+
+
+_window_page(1)
+_window_page(7, "lower(f.language) = 'python'", language="python")
+_window_page(90)
+
+
+_RUNS = "select distinct data_watermark from leaderboard_items"
+
+
+@R.query(
+    "snapshot_header",
+    f"""with r as ({_RUNS}), h as (
+  select '{leaderboard.FEATURE_VERSION}' as feature_version, data_watermark, case when data_watermark = (select max(data_watermark) from r) then 'linear-2' else 'linear-1' end as model_version, data_watermark + interval 1 hour as created_at from r)
+select feature_version, strftime(data_watermark, '%Y-%m-%d %H:%M:%S') as data_watermark, model_version, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created_at, row_number() over (order by data_watermark desc) as recency from h""",
+)
+def snapshot_header(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs that landed, the latest of them written again by another model, and a run of other features: those of the first, by recency."""
+    runs = table(spark, folder, "leaderboard_items").select("data_watermark").distinct()
+    last = runs.agg(F.max("data_watermark")).scalar()
+    header = lambda rows, features, model, hours: rows.select(F.lit(features).alias("feature_version"), "data_watermark", F.lit(model).alias("model_version"), (F.col("data_watermark") + F.expr(f"interval {hours} hours")).alias("created_at"))
+    headers = header(runs, leaderboard.FEATURE_VERSION, "linear-1", 1).unionByName(header(runs, "leaderboard-v0", "linear-0", 0))
+    headers = leaderboard.add_headers(headers, header(runs.where(F.col("data_watermark") == last), leaderboard.FEATURE_VERSION, "linear-2", 9))
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("data_watermark", "created_at")]
+    return leaderboard.run_recency(headers).select("feature_version", shown[0], "model_version", shown[1], F.col("recency").cast("long"))
+
+
 def _page_sql(where: str, order: str, limit: int, offset: int) -> str:
     return f"""
 with u as (select full_name, data_watermark, any_value(item_id) as k from leaderboard_items group by all),
