@@ -42,3 +42,12 @@ def name_of(full_name: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b))).cast("double")
+
+
+def reason() -> Column:
+    """Why a snapshot is shown: its first two topics and evidence paths."""
+    # The wording of a reason.
+    first = lambda c: F.array_join(F.slice(c, 1, 2), ", ")
+    has = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    what = F.when(has("topics"), F.concat(F.lit("implements "), first("topics"))).otherwise("source-level capability match")
+    return F.concat_ws("; ", what, F.when(has("code_evidence_paths"), F.concat(F.lit("verified in "), first("code_evidence_paths"))))
