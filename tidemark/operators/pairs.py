@@ -87,6 +87,36 @@ def pair_metrics(scored: DataFrame, *, positive: str, negative: str) -> DataFram
     return scored.agg(F.count("*").alias("pairs"), F.avg(F.when(right, 1.0).otherwise(0.0)).alias("accuracy"), F.avg(ndcg).alias("ndcg"))
 
 
+def pair_losses(scored: DataFrame, *, positive: str, negative: str, chance: str, target: str) -> DataFrame:
+    """One row: the mean softplus of the negative's lead, the mean cross-entropy of the chances (in (0, 1)) whose target isn't null,
+    0 if all are, and the number of these."""
+    lead = F.col(negative) - F.col(positive)
+    softplus = F.greatest(F.lit(0.0), lead) + F.log1p(F.exp(-F.abs(lead)))
+    known = F.col(target).isNotNull()
+    entropy = -(F.col(target) * F.log(chance) + (1.0 - F.col(target)) * F.log(1.0 - F.col(chance)))
+    labels = F.count(F.when(known, 1))
+    return scored.agg(F.avg(softplus).alias("pair_loss"), (F.coalesce(F.sum(F.when(known, entropy)), F.lit(0.0)) / F.greatest(F.lit(1), labels)).alias("adoption_loss"), labels.alias("labels"))
+
+
+def shuffled_batches(rows: DataFrame, *, key: str, seed: int, size: int) -> DataFrame:
+    """Add `batch`: the number of a row's batch of `size` after a shuffle that seed and key (unique) settle."""
+    ranked = global_rank(rows.withColumn("_shuffle", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))), [F.col("_shuffle").asc(), F.col(key).asc()], "_place")
+    return ranked.withColumn("batch", F.floor((F.col("_place") - 1) / size)).drop("_shuffle", "_place")
+
+
+def save_ranker(spark: SparkSession, weights: list[float], path: str) -> None:
+    """Write a ranker's weights by the names of their features."""
+    spark.createDataFrame(list(zip(structured_features(), weights, strict=True)), "feature string, weight double").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_ranker(spark: SparkSession, path: str) -> list[float]:
+    """The weights in the order of the features; a feature that the table lacks, or knows besides, fails."""
+    found = {r.feature: r.weight for r in spark.read.schema("feature string, weight double").json(path).collect()}  # one row a feature
+    if found.keys() != structured_features().keys():
+        raise ValueError("the ranker was made for other features")
+    return [found[c] for c in structured_features()]
+
+
 def train_ranker(pairs: DataFrame, snapshots: DataFrame) -> list[float]:
     """A linear ranker fitted by logistic regression on differences of the snapshots' features: its weights, zeros without pairs.
 

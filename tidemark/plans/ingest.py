@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import text
 from tidemark.operators import codebase, ingest, leaderboard
 from tidemark.plans.registry import Registry
-from tidemark.schemas import SNAPSHOT
+from tidemark.schemas import RAW_ITEM, SNAPSHOT
 from tidemark.session import fresh
 from tidemark.sources import jsonl
 from tidemark.sources.tables import table
@@ -45,6 +46,48 @@ def raw_hydrate(spark: SparkSession, folder: str) -> DataFrame:
     return jsonl.hydrated(table(spark, folder, "repository_snapshots"))
 
 
+@R.query("items_hydrate", """select full_name, html_url, strftime(captured_at, '%Y-%m-%d %H:%M:%S.%f') as captured_at, coalesce(description, '') as description, coalesce(nullif(language, ''), 'Unknown') as language, coalesce(nullif(license_spdx, ''), 'NOASSERTION') as license_spdx,
+  array_to_string(topics, ' ') as topics, stars, forks, open_issues, size_kb, case when snapshot_id % 3 <> 0 and watchers <> 0 then watchers else stars end as watchers, coalesce(archived, false) as archived, coalesce(fork, false) as fork, strftime(pushed_at, '%Y-%m-%d %H:%M:%S.%f') as pushed_at, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') as created_at, 'topic:cli' as source_query
+  from (select * replace (coalesce(stars, 0) as stars, coalesce(forks, 0) as forks, coalesce(open_issues, 0) as open_issues, coalesce(size_kb, 0) as size_kb) from repository_snapshots)""")
+def items_hydrate(spark: SparkSession, folder: str) -> DataFrame:
+    """Snapshots turned back into raw search results, landed as JSON lines, and hydrated; a third lacks the count of subscribers."""
+    at = fresh(spark, "items")
+    rows = table(spark, folder, "repository_snapshots")
+    renamed = {"stargazers_count": "stars", "forks_count": "forks", "open_issues_count": "open_issues", "watchers_count": "stars", "size": "size_kb"}
+    raw = rows.select(
+        "full_name", "html_url", "captured_at", "description", "language", F.struct(F.col("license_spdx").alias("spdx_id")).alias("license"), "topics", *[F.col(c).alias(n) for n, c in renamed.items()],
+        F.when(F.col("snapshot_id") % 3 == 0, 0).otherwise(F.col("watchers")).alias("subscribers_count"), "archived", "fork", "pushed_at", "created_at",
+    )
+    raw.write.json(at)
+    landed = spark.read.schema(T.StructType([*RAW_ITEM.fields, T.StructField("captured_at", T.TimestampNTZType())])).json(at)
+    found = jsonl.hydrated_items(landed, captured_at=F.col("captured_at"), source_query="topic:cli")
+    return found.withColumn("topics", F.array_join("topics", " ")).withColumns({c: _time(c) for c in ("captured_at", "pushed_at", "created_at")})
+
+
+@R.query("pair_scan", """with e as (select lower(full_name) as repo, arg_max(struct_pack(i := snapshot_id, n := full_name, s := stars, d := coalesce(description, '')), snapshot_id) as p, arg_min(struct_pack(i := snapshot_id, n := full_name, s := stars), snapshot_id) as m, max(quality_score) as target from repository_snapshots group by 1 having count(*) > 1)
+select repo as query, p.n as positive, coalesce(p.s, 0) as positive_stars, p.d as positive_description, m.n as negative, coalesce(m.s, 0) as negative_stars, round(target, 6) as adoption_target from e""")
+def pair_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of the latest and the first capture of each repository, landed as JSON lines and read again with their schema."""
+    at = fresh(spark, "pairs")
+    capture = F.struct(*SNAPSHOT.names)
+    rows = table(spark, folder, "repository_snapshots").groupBy(F.lower("full_name").alias("query")).agg(
+        F.max_by(capture, "snapshot_id").alias("positive"), F.min_by(capture, "snapshot_id").alias("negative"), F.max("quality_score").alias("adoption_target"), F.max("captured_at").alias("observed_at"), F.count("*").alias("n")
+    )
+    rows.where("n > 1").drop("n").write.json(at)
+    shown = [F.col(f"{side}.full_name").alias(side) for side in ("positive", "negative")] + [F.coalesce(f"{side}.stars", F.lit(0)).alias(f"{side}_stars") for side in ("positive", "negative")]
+    return jsonl.read_pairs(spark, at).select("query", *shown, F.coalesce("positive.description", F.lit("")).alias("positive_description"), F.round("adoption_target", 6).alias("adoption_target"))
+
+
+@R.query("seed_queries", "select name || ' ' || k as query from (select name, unnest([1, 2]) as k from (select distinct name from repositories)) where k = 1 or not starts_with(name, 's')")
+def seed_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines made of repository names: some blank, some with white space around them, some that only seem to be remarks, some that are."""
+    at = fresh(spark, "seeds")
+    names = table(spark, folder, "repositories").select("name").distinct()
+    second = F.when(F.col("name").startswith("s"), F.concat(F.lit("# "), "name")).otherwise(F.concat("name", F.lit(" 2")))
+    names.select(F.explode(F.array(F.concat(F.lit("  "), "name", F.lit(" 1 ")), F.lit("   "), F.lit(""), second)).alias("value")).write.text(at)
+    return jsonl.read_seed_queries(spark, at)
+
+
 @R.query("package_candidates", """with p as (select distinct pypi_package as package from repository_snapshots where pypi_package is not null), n as (select distinct name from repositories),
 t as (select name, 0 as pos, name as package from n union all select name, 1, replace(name, '_', '-') from n union all select name, 2, replace(name, '-', '_') from n)
 select name, arg_min(package, pos) as package from t join p using (package) group by name""")
@@ -243,9 +286,10 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(at).groupBy("full_name", "source").agg(F.count("*").alias("events"))
 
 
-@R.query("stream_daily_latest")
+@R.query("stream_daily_latest", """select strftime(observed_at, '%Y-%m-%d') as day, full_name, source, arg_max(cast(o.id as varchar), row(observed_at, cast(o.id as varchar))) as event_id, cast(count(*) as bigint) as events
+  from repository_observations o join (select distinct id as rid, full_name from repositories) r on r.rid = o.repository_id where observed_at is not null and source is not null group by all""")
 def stream_daily_latest(spark: SparkSession, folder: str) -> DataFrame:
     """The last event of each repository, source and day, kept up by a stream."""
     at = fresh(spark, "daily")
     streaming.daily_latest(streaming.read_events(spark, _events(spark, folder)), at, fresh(spark, "daily-state"))
-    return streaming.latest_days(spark, at)
+    return streaming.latest_days(spark, at).withColumn("day", F.date_format("day", "yyyy-MM-dd"))

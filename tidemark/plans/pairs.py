@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import features, text
 from tidemark.operators import pairs
 from tidemark.plans.registry import Registry
+from tidemark.session import fresh
 from tidemark.sources.tables import table
 
 R = Registry()
@@ -107,9 +108,41 @@ def pair_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.pair_metrics(scored, positive="score", negative="other").select("pairs", F.round("accuracy", 6).alias("accuracy"), F.round("ndcg", 6).alias("ndcg"))
 
 
+#: Positives whose pairs train the ranker: those whose number is divisible by it. A bound on the training, not on what is scored.
+TRAINED = 20
+
+
 @R.query("ranker_train_score")
 def ranker_train_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of a linear ranker trained on the pairs of hard negatives."""
+    """Scores of all repositories by a linear ranker trained on the hard negatives of one positive in TRAINED, saved and loaded again."""
     snapshots = table(spark, folder, "repository_snapshots")
-    found = pairs.hard_negatives(snapshots, positives=F.col("ordinal") % 20 == 0)
-    return pairs.ranker_scores(pairs.train_ranker(found, snapshots), snapshots)
+    found = pairs.hard_negatives(snapshots, positives=F.col("ordinal") % TRAINED == 0)
+    at = fresh(spark, "ranker")
+    pairs.save_ranker(spark, pairs.train_ranker(found, snapshots), at)
+    return pairs.ranker_scores(pairs.load_ranker(spark, at), snapshots)
+
+
+_SCORED = """s as (select full_name, lead(score) over (order by full_name, item_id) as b, score as a, adoption_score as t, quality_score as c from leaderboard_items)"""
+
+
+@R.query(
+    "pair_losses",
+    f"""with {_SCORED}, p as (select *, least(0.999e0, greatest(0.001e0, c)) as q, case when a >= 0.5e0 then t end as y from s where a is not null and b is not null)
+select round(avg(greatest(0.0e0, b - a) + ln(1.0e0 + exp(-abs(b - a)))), 6) as pair_loss, round(coalesce(sum(-(y * ln(q) + (1.0e0 - y) * ln(1.0e0 - q))), 0.0e0) / greatest(1, count(y)), 6) as adoption_loss, count(y) as labels from p""",
+)
+def pair_losses(spark: SparkSession, folder: str) -> DataFrame:
+    """Losses of pairs of neighbours in the order of names; scores of a half and more have an adoption target."""
+    from tidemark.operators.ranking import global_rank
+
+    items = global_rank(table(spark, folder, "leaderboard_items").select("full_name", "item_id", "score", "adoption_score", "quality_score"), [F.col("full_name").asc(), F.col("item_id").asc()], "n")
+    other = items.select((F.col("n") - 1).alias("n"), F.col("score").alias("other"))
+    rows = items.join(other, "n").where("score is not null and other is not null")
+    rows = rows.select("score", "other", F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("quality_score"))).alias("chance"), F.when(F.col("score") >= 0.5, F.col("adoption_score")).alias("target"))
+    found = pairs.pair_losses(rows, positive="score", negative="other", chance="chance", target="target")
+    return found.select(F.round("pair_loss", 6).alias("pair_loss"), F.round("adoption_loss", 6).alias("adoption_loss"), "labels")
+
+
+@R.query("shuffled_batches", "select snapshot_id, (row_number() over (order by md5('7:' || snapshot_id), snapshot_id) - 1) // 64 as batch from repository_snapshots")
+def shuffled_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The snapshots in shuffled batches of 64."""
+    return pairs.shuffled_batches(table(spark, folder, "repository_snapshots").select("snapshot_id"), key="snapshot_id", seed=7, size=64)

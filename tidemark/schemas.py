@@ -23,6 +23,13 @@ PAIR = T.StructType([T.StructField("query", T.StringType()), T.StructField("posi
 #: The event contract: its required fields; what else a record holds stays in `payload`.
 OBSERVATION_EVENT = T.StructType([T.StructField(c, T.StringType()) for c in ("schema_version", "event_id", "source", "captured_at", "full_name", "html_url")])
 
+#: A raw search result as the code host sends it.
+RAW_ITEM = T.StructType([
+    *[T.StructField(c, T.StringType()) for c in ("full_name", "html_url", "description", "language")], T.StructField("license", T.StructType([T.StructField("spdx_id", T.StringType())])), T.StructField("topics", T.ArrayType(T.StringType())),
+    *[T.StructField(c, T.IntegerType()) for c in ("stargazers_count", "forks_count", "open_issues_count", "subscribers_count", "watchers_count", "size")],
+    *[T.StructField(c, T.BooleanType()) for c in ("archived", "fork")], *[T.StructField(c, T.TimestampNTZType()) for c in ("pushed_at", "created_at")],
+])
+
 #: Defaults of a snapshot's missing fields; fields that aren't here stay null.
 DEFAULTS = {"description": "", "language": "Unknown", "license_spdx": "NOASSERTION", "source_query": "", "architecture_summary": ""} | dict.fromkeys(_INTS, 0) | dict.fromkeys(_FLAGS, False) | dict.fromkeys(_DOUBLES, 0.0)
 

@@ -52,12 +52,22 @@ def fresh(spark: SparkSession, name: str) -> str:
     return at
 
 
+def _located(spark: SparkSession, at: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, at: str) -> bool:
+    files, path = _located(spark, at)
+    return files.exists(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all intermediate tables of the session; frames that still read them can't be used any more."""
     context = spark.sparkContext
     for at in getattr(context, "_tidemark_paths", []):
-        path = context._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = _located(spark, at)
+        files.delete(path, True)
     context._tidemark_paths = []
 
 

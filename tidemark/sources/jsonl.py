@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.schemas import PAIR, SNAPSHOT, with_defaults
+from tidemark.schemas import PAIR, RAW_ITEM, SNAPSHOT, with_defaults
 
 
 def read_snapshots(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -45,6 +45,24 @@ def hydrated(raw: DataFrame) -> DataFrame:
     )
 
 
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """Raw search results, one JSON object a line."""
+    return spark.read.schema(RAW_ITEM).option("mode", "FAILFAST").json(path)
+
+
+def hydrated_items(raw: DataFrame, *, captured_at: Column, source_query: str) -> DataFrame:
+    """Raw search results as snapshots: every field of theirs under its name there, with what counts as missing replaced; 0, '' and an
+    empty list do, so a count of 0 subscribers gives way to that of watchers. What other requests tell (releases, packages) is null."""
+    text = lambda c, default: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default)).alias(c.split(".")[-1])
+    counts = {"stars": "stargazers_count", "forks": "forks_count", "open_issues": "open_issues_count", "size_kb": "size"}
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return raw.select(
+        "full_name", "html_url", captured_at.alias("captured_at"), text("description", ""), text("language", "Unknown"), text("license.spdx_id", "NOASSERTION").alias("license_spdx"),
+        F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), *[first_filled(c).alias(n) for n, c in counts.items()], first_filled("subscribers_count", "watchers_count").alias("watchers"),
+        flag("archived"), flag("fork"), "pushed_at", "created_at", F.lit(source_query).alias("source_query"),
+    )
+
+
 def package_names(names: DataFrame, packages: DataFrame) -> DataFrame:
     """(name, package): for each name the first of itself, with `-` for `_`, with `_` for `-`, that is a known package."""
     n = F.col("name")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ingest import insert_if_absent
 from tidemark.schemas import OBSERVATION_EVENT
+from tidemark.session import exists
 
 KEYS = ["full_name", "source", "captured_at"]
 DAILY = "day timestamp, full_name string, source string, captured_at timestamp, event_id string, events bigint"
@@ -25,10 +26,7 @@ def ingest(events: DataFrame, table: str, checkpoint: str) -> None:
 
     def add(batch: DataFrame, number: int) -> None:
         rows = batch.select("event_id", *KEYS).withColumn("batch", F.lit(number))
-        try:
-            old = spark.read.parquet(table)
-        except Exception:  # noqa: BLE001  the first batch makes the table
-            old = spark.createDataFrame([], rows.schema)
+        old = spark.read.schema(rows.schema).parquet(table) if exists(spark, table) else rows.limit(0)  # the first batch makes the table
         others = old.where(F.col("batch") != number)
         new = insert_if_absent(others, rows, KEYS, order="event_id").where(F.col("batch") == number)
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
