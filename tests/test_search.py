@@ -47,3 +47,26 @@ def test_pools_are_pruned_before_the_shuffle(spark):
     found = pairs.hard_negatives(df, positives=pairs.F.lit(True))
     assert found.groupBy("positive").count().where("count <> 3").count() == 0
     assert found._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") >= 3
+
+
+def test_stems(spark):
+    pairs_ = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky",
+              "relational": "relat", "conditional": "condit", "digitizer": "digit", "vectorization": "vector", "hopefulness": "hope", "triplicate": "triplic", "electrical": "electr", "adjustment": "adjust", "adoption": "adopt", "rate": "rate", "parsers": "parser", "caching": "cach", "cache": "cach", "libraries": "librari"}
+    got = spark.createDataFrame([(w,) for w in pairs_], "w string").select("w", search.stems("w").alias("s")).collect()
+    assert {r.w: r.s[0] for r in got} == pairs_
+    row = spark.createDataFrame([("The cats, and a dog's 2 toys", None)], "a string, b string").select(search.stems("a").alias("a"), search.stems("b").alias("b")).first()
+    assert row.a == ["cat", "dog", "2", "toi"] and row.b == []
+
+
+def test_searches_are_parsed():
+    show = lambda q: [[("-" if t.excluded else "") + t.words for t in o] for o in search.parsed(q)]
+    assert show('Fast "vector  search" or cli -"note book" -the parser') == [["fast", "vector search"], ["cli", "-note book", "parser"]]
+    assert show("") == show("the or of") == show('" "') == []
+
+
+def test_full_text_by_phrase_alternative_and_exclusion(spark):
+    rows = [("o/vector-search", "Searches vectors", ["cli"], False, 5), ("o/search-vector", "Parsing tools", [], False, 9), ("o/old-vector-search", "", [], True, 99), ("o/parser", "parse notebooks", None, False, 1), ("o/none", None, None, False, 1)]
+    df = spark.createDataFrame(rows, "full_name string, description string, topics array<string>, is_archived boolean, stars int")
+    names = lambda q: [r.full_name for r in search.full_text(df, q).collect()]
+    assert names('"vector search"') == ["o/vector-search"] and names("searching vectors") == ["o/vector-search", "o/search-vector"]
+    assert names("parse -notebook") == ["o/search-vector"] and names("cli or parsers") == ["o/parser", "o/vector-search"] and names("the") == []

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.fulltext import parsed, stems
 from tidemark.functions.text import tokens
 from tidemark.session import materialize
 
@@ -158,35 +159,40 @@ def blend(candidates: DataFrame, *, learned: Column, cross: Column, reranked: in
     return candidates.withColumn("final", 0.25 * F.col("hybrid") + 0.25 * learned + 0.5 * sigmoid(second))
 
 
-_STEM = r"(?:ings?|ed|ies|es|e|s)$"
-
-
-def stems(text: Column) -> Column:
-    """Words in lower case without common English endings; a light stand-in for a dictionary stemmer."""
-    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, _STEM, "")).otherwise(w))
+def _holds(words: Column, wanted: list[str]) -> Column:
+    """Whether an array of stems holds some in succession."""
+    if len(wanted) == 1:
+        return F.array_contains(words, wanted[0])
+    return F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words))), lambda i: F.slice(words, i, len(wanted)) == F.array(*map(F.lit, wanted)))
 
 
 def full_text(repositories: DataFrame, query: str, *, scores: DataFrame | None = None, limit: int = 20) -> DataFrame:
-    """(full_name, rank): repositories that hold all words of the query, and none after a minus; `or` parts alternatives.
+    """(full_name, rank): repositories that a search in the syntax of web search engines finds, by their words' stems.
 
-    Names weigh 1, descriptions and topics 0.4, per word; 0.45 of a leaderboard score (full_name, score) is added if given.
+    Archived ones are left out. Each term of the search counts 1 if the name holds it, and 0.4 if description or topics do;
+    0.45 of a leaderboard score (full_name, score) is added to 0.55 of that. A search without terms finds nothing.
     """
     rows = repositories.where(~F.col("is_archived")).select(
-        "full_name", "stars", stems(F.translate("full_name", "/_-", "   ")).alias("a"), stems(F.concat_ws(" ", "description", F.array_join("topics", " "))).alias("b")
+        "full_name", "stars", stems("translate(full_name, '/_-', '   ')").alias("a"), stems("concat_ws(' ', description, array_join(topics, ' '))").alias("b")
     )
-    stem = lambda w: F.when(F.length(F.lit(w)) > 4, F.regexp_replace(F.lit(w), _STEM, "")).otherwise(F.lit(w))
-    has = lambda w: F.array_contains("a", stem(w)) | F.array_contains("b", stem(w))
+    rows = materialize(rows, "stems")  # stems are taken once, whatever the search asks
+    options = parsed(query)
+    terms = list({t: None for option in options for t in option})
+    if not terms:
+        return rows.limit(0).select("full_name", F.lit(0.0).alias("rank"))
+    asked = repositories.sparkSession.createDataFrame([(i, t.words) for i, t in enumerate(terms)], "n int, words string")
+    asked = {r.n: r.stems for r in asked.select("n", stems("words").alias("stems")).collect()}  # the search's own words
+    holds = lambda side, term: _holds(F.col(side), asked[terms.index(term)])
     match, rank = F.lit(False), F.lit(0.0)
-    for option in query.lower().split(" or "):
-        words = option.split()
+    for option in options:
         hit = F.lit(True)
-        for w in words:
-            hit = hit & (~has(w[1:]) if w.startswith("-") else has(w))
+        for term in option:
+            there = holds("a", term) | holds("b", term)
+            hit = hit & (~there if term.excluded else there)
         match = match | hit
-        for w in words:
-            if not w.startswith("-"):
-                rank = rank + F.when(F.array_contains("a", stem(w)), 1.0).otherwise(0.0) + F.when(F.array_contains("b", stem(w)), 0.4).otherwise(0.0)
+    for term in (t for t in terms if not t.excluded):
+        rank = rank + F.when(holds("a", term), 1.0).otherwise(0.0) + F.when(holds("b", term), 0.4).otherwise(0.0)
     found = rows.where(match).withColumn("rank", 0.55 * rank)
     if scores is not None:
         found = found.join(scores, "full_name", "left").withColumn("rank", F.col("rank") + 0.45 * F.coalesce("score", F.lit(0.0)))
-    return found.orderBy(F.col("rank").desc(), F.col("stars").desc(), "full_name").limit(max(1, min(limit, 100))).select("full_name", "rank")
+    return found.orderBy(F.round("rank", 9).desc(), F.col("stars").desc(), "full_name").limit(max(1, min(limit, 100))).select("full_name", "rank")

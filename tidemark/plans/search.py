@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.fulltext import parsed, stems_sql
 from tidemark.functions.text import tokens
 from tidemark.operators import leaderboard, search
 from tidemark.plans.registry import Registry
@@ -152,8 +153,26 @@ def blend_final_all(spark: SparkSession, folder: str) -> DataFrame:
     return _blended(spark, folder, _hybrid_all(spark, folder)).select("query", "doc", F.round("final", 6).alias("final"), F.col("place").cast("long").alias("rank"))
 
 
-@R.query("fts_search")
+FTS = 'vector searching or "cache tools" or tooling parsers -notebook'
+
+
+def _fts_sql() -> str:
+    held = lambda side, t: f"len(list_filter(range(1, len({side}) + 1), lambda i: {side}[i:i + len({stems_sql(repr(t.words))}) - 1] = {stems_sql(repr(t.words))})) > 0"
+    options = parsed(FTS)
+    terms = list({t: None for o in options for t in o})
+    hits = ", ".join(f"{held(s, t)} as {s}{i}" for i, t in enumerate(terms) for s in "ab")
+    match = " or ".join("(" + " and ".join(("not " if t.excluded else "") + f"(a{terms.index(t)} or b{terms.index(t)})" for t in o) + ")" for o in options)
+    rank = " + ".join(f"case when a{i} then 1.0e0 else 0.0e0 end + case when b{i} then 0.4e0 else 0.0e0 end" for i, t in enumerate(terms) if not t.excluded)
+    return f"""with u as (select id, any_value(full_name) as full_name, any_value(stars) as stars, any_value(description) as description, any_value(topics) as topics from repositories where not is_archived group by id),
+w as (select full_name, stars, {stems_sql("translate(full_name, '/_-', '   ')")} as a, {stems_sql("concat_ws(' ', description, array_to_string(topics, ' '))")} as b from u), h as (select full_name, stars, {hits} from w),
+n as (select full_name, any_value(score) as score from leaderboard_items where data_watermark = (select max(data_watermark) from leaderboard_items) group by full_name),
+r as (select full_name, stars, 0.55e0 * ({rank}) + 0.45e0 * coalesce(score, 0.0e0) as rank from h left join n using (full_name) where {match})
+select full_name, round(rank, 6) as rank from r order by round(r.rank, 9) desc, stars desc, full_name limit 50"""
+
+
+@R.query("fts_search", _fts_sql())
 def fts_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of repository names, descriptions and topics, with the latest score; a light stemmer stands in for a dictionary."""
+    """A search of repository names, descriptions and topics by stems, with the latest score."""
     rows = leaderboard.current_and_previous(table(spark, folder, "leaderboard_items")).select("full_name", "score")
-    return search.full_text(leaderboard.unique_repositories(table(spark, folder, "repositories")), "vector search or cache tooling -notebook", scores=rows, limit=50)
+    found = search.full_text(leaderboard.unique_repositories(table(spark, folder, "repositories")), FTS, scores=rows, limit=50)
+    return found.withColumn("rank", F.round("rank", 6))
